@@ -7,19 +7,11 @@ pipeline (through ``SQLTransformer``), so training and scoring cannot drift.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promptweave.functions.constants import WORD_CHARS
-
-
-@lru_cache(maxsize=1)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark's own English list; callers may pass another."""
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+from promptweave.functions.constants import ENGLISH_STOP_WORDS, WORD_CHARS
 
 
 def sql_text(value: str) -> str:
@@ -62,11 +54,9 @@ def tokens(col: str) -> Column:
     return F.expr(tokens_sql(col))
 
 
-def content_words(col: str, stop_words: Iterable[str] | None = None) -> Column:
-    listed = english_stop_words() if stop_words is None else stop_words
-    return F.expr(content_words_sql(col, listed))
+def content_words(col: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> Column:
+    return F.expr(content_words_sql(col, stop_words))
 
 
-def terms(col: str, stop_words: Iterable[str] | None = None) -> Column:
-    listed = english_stop_words() if stop_words is None else stop_words
-    return F.expr(terms_sql(col, listed))
+def terms(col: str, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> Column:
+    return F.expr(terms_sql(col, stop_words))

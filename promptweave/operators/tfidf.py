@@ -18,12 +18,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptweave.functions.terms import (
-    content_words_sql,
-    english_stop_words,
-    sql_text,
-    terms_sql,
-)
+from promptweave.functions.constants import ENGLISH_STOP_WORDS
+from promptweave.functions.terms import content_words_sql, sql_text, terms_sql
 
 MAX_FEATURES = 1000
 
@@ -81,7 +77,7 @@ def fit_tfidf(
     text_col: str = "user_prompt",
     out: str = "tfidf",
     max_features: int = MAX_FEATURES,
-    stop_words: Iterable[str] | None = None,
+    stop_words: Iterable[str] = ENGLISH_STOP_WORDS,
 ) -> TfidfModel:
     """Choose the ``max_features`` most frequent terms and weigh them.
 
@@ -94,7 +90,7 @@ def fit_tfidf(
 
     Ties in the cut go to the alphabetically first term.
     """
-    stop = tuple(english_stop_words() if stop_words is None else stop_words)
+    stop = tuple(stop_words)
     words = content_words_sql(text_col, stop)
 
     # Every row also holds one empty term, so that its count is the number of rows.

@@ -43,11 +43,6 @@ def read_battles(
     return battles if split is None else battles.where(F.col("split") == split)
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first line of a CSV file, without reading the rest."""
-    return _load(_csv_reader(spark).option("enforceSchema", False), path, "write the CSV first").columns
-
-
 def _csv_reader(spark: SparkSession) -> DataFrameReader:
     """CSV as spreadsheets and pandas write it: doubled quotes, raw newlines in quotes."""
     return (
