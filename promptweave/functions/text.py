@@ -7,7 +7,9 @@ characters gives the same words but costs about five times as much.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptweave.functions.constants import (
@@ -44,70 +46,120 @@ def preview(c: Column | str, width: int = 80) -> Column:
     return F.concat(F.substring(_col(c), 1, width), F.lit("..."))
 
 
-def prompt_length(c: Column | str) -> Column:
-    return F.length(_col(c))
+@dataclass(frozen=True)
+class Parts:
+    """A text and what several measures derive from it.
+
+    Built from a column, the parts are nested expressions. ``staged`` puts them
+    into columns of their own, so that measures side by side share them.
+    """
+
+    text: Column
+    spaced: Column
+    lower: Column
+    words: Column
+    sounded: Column
+
+    @classmethod
+    def of(cls, c: Parts | Column | str) -> Parts:
+        if isinstance(c, Parts):
+            return c
+        text = _col(c)
+        flat = spaced(text)
+        lower = F.lower(flat)
+        return cls(text, flat, lower, _words(lower), _sounded(lower))
+
+    @classmethod
+    def staged(cls, df: DataFrame, text: Column) -> tuple[DataFrame, Parts]:
+        """``df`` with one temporary column per part; unused ones are pruned."""
+        name = "__{}".format
+        parts = cls(*[F.col(name(f)) for f in ("text", "spaced", "lower", "words", "sounded")])
+        steps = {
+            "text": text,
+            "spaced": spaced(parts.text),
+            "lower": F.lower(parts.spaced),
+            "words": _words(parts.lower),
+            "sounded": _sounded(parts.lower),
+        }
+        for part, expression in steps.items():
+            df = df.withColumn(name(part), expression)
+        return df, parts
+
 
+def _words(lower: Column) -> Column:
+    """Lower-case words; a blank text gives one empty word."""
+    return F.split(F.trim(lower), " +")
 
-def word_count(c: Column | str) -> Column:
-    return F.regexp_count(spaced(c), F.lit("[^ ]+"))
 
+def _sounded(lower: Column) -> Column:
+    """Letters a-z and spaces only, less one final e per word."""
+    return F.regexp_replace(F.regexp_replace(lower, "[^a-z ]+", ""), r"e(?= |\z)", "")
 
-def avg_word_len(c: Column | str) -> Column:
-    letters = F.length(F.replace(spaced(c), F.lit(" "), F.lit("")))
-    return _ratio(letters, word_count(c))
 
+def prompt_length(c: Parts | Column | str) -> Column:
+    return F.length(Parts.of(c).text)
 
-def unique_word_ratio(c: Column | str) -> Column:
-    words = F.split(F.trim(F.lower(spaced(c))), " +")
-    # Splitting a blank text gives one empty word; its word count of 0 rules it out.
-    return _ratio(F.size(F.array_distinct(words)), word_count(c))
 
+def word_count(c: Parts | Column | str) -> Column:
+    words = Parts.of(c).words
+    return F.size(words) - F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0)
 
-def punctuation_ratio(c: Column | str) -> Column:
-    text = _col(c)
+
+def avg_word_len(c: Parts | Column | str) -> Column:
+    parts = Parts.of(c)
+    letters = F.length(F.replace(parts.spaced, F.lit(" "), F.lit("")))
+    return _ratio(letters, word_count(parts))
+
+
+def unique_word_ratio(c: Parts | Column | str) -> Column:
+    parts = Parts.of(c)
+    return _ratio(F.size(F.array_distinct(parts.words)), word_count(parts))
+
+
+def punctuation_ratio(c: Parts | Column | str) -> Column:
+    text = Parts.of(c).text
     size = F.length(text)
     return _ratio(size - F.length(F.translate(text, PUNCTUATION, "")), size)
 
 
 def complex_keyword_count(
-    c: Column | str, keywords: tuple[str, ...] = COMPLEX_KEYWORDS
+    c: Parts | Column | str, keywords: tuple[str, ...] = COMPLEX_KEYWORDS
 ) -> Column:
     """Whole-word hits, any case; ``keywords`` are plain words, not patterns."""
     pattern = rf"(?iu)(?<![{WORD_CHARS}])(?:{'|'.join(keywords)})(?![{WORD_CHARS}])"
-    return F.regexp_count(_col(c), F.lit(pattern))
+    return F.regexp_count(Parts.of(c).text, F.lit(pattern))
 
 
-def char_entropy(c: Column | str) -> Column:
+def char_entropy(c: Parts | Column | str) -> Column:
     """Shannon entropy, in bits, of the code points of a text.
 
     Sorting puts equal characters side by side, one pattern cuts the runs, and
     ``log2(n) - sum(k * log2(k)) / n`` needs only the run lengths ``k``. All of
     it happens inside the row: no id, no explode, no shuffle.
     """
-    text = _col(c)
-    size = F.length(text)
+    text = Parts.of(c).text
+    size = F.nullif(F.length(text), F.lit(0))
     ordered = F.array_join(F.sort_array(F.split(text, "")), "")
     runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*+"), F.lit(0))
     weighted = F.aggregate(
         runs, F.lit(0.0), lambda total, run: total + F.length(run) * F.log2(F.length(run))
     )
-    bits = F.log2(F.nullif(size, F.lit(0))) - weighted / F.nullif(size, F.lit(0))
+    bits = F.log2(size) - weighted / size
     return F.greatest(F.coalesce(bits, F.lit(0.0)), F.lit(0.0))
 
 
-def flesch_reading_ease(c: Column | str) -> Column:
+def flesch_reading_ease(c: Parts | Column | str) -> Column:
     """Flesch (1948) reading ease for English; 0.0 when there are no words.
 
     Sentences: runs of ``.!?``, at least one. Syllables of a word: keep a-z,
     drop one final e, count vowel runs (y included), at least one. Both are
     counted over the whole text instead of word by word.
     """
-    words = word_count(c)
-    sentences = F.greatest(F.regexp_count(_col(c), F.lit("[.!?]+")), F.lit(1))
-    letters = F.regexp_replace(F.lower(spaced(c)), "[^a-z ]+", "")
-    sounded = F.regexp_replace(letters, r"e(?= |\z)", "")
-    vowel_runs = F.regexp_count(sounded, F.lit("[aeiouy]+"))
-    words_with_vowel = F.regexp_count(sounded, F.lit("[aeiouy][^ ]*"))
+    parts = Parts.of(c)
+    words = word_count(parts)
+    sentences = F.greatest(F.regexp_count(parts.text, F.lit("[.!?]+")), F.lit(1))
+    vowel_runs = F.regexp_count(parts.sounded, F.lit("[aeiouy]+"))
+    words_with_vowel = F.regexp_count(parts.sounded, F.lit("[aeiouy][^ ]*"))
     syllables = vowel_runs + words - words_with_vowel
     counted = F.nullif(words, F.lit(0)).cast("double")
     score = (

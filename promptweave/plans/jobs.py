@@ -11,6 +11,7 @@ from promptweave.config import LabelRules
 from promptweave.functions.conversation import first_message
 from promptweave.operators.features import assemble, with_text_features
 from promptweave.operators.labeling import labeled_prompts
+from promptweave.operators.partitioning import spread_small
 from promptweave.operators.tfidf import TfidfModel, fit_tfidf, widen
 from promptweave.schemas import require_columns
 from promptweave.sources import prompt_table, readers, writers
@@ -81,7 +82,7 @@ def feature_job(
 
     The CSV form has one column per term and neither id nor prompt.
     """
-    prompts = prompt_table.read_prompts(spark, table)
+    prompts = spread_small(prompt_table.read_prompts(spark, table))
     model = fit_tfidf(prompts)
     model.save(model_path)
     features = featurise(prompts, model)

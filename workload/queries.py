@@ -18,6 +18,7 @@ from promptweave.functions.conversation import first_messages
 from promptweave.operators import labeling, summaries, tfidf
 from promptweave.operators.describe import describe
 from promptweave.operators.features import with_text_features
+from promptweave.operators.partitioning import spread_small
 from promptweave.operators.row_ids import with_dense_id
 from promptweave.plans import jobs
 from promptweave.plans.reports import feature_report
@@ -34,8 +35,12 @@ def _six(c: str | Column) -> Column:
     return F.round(c, 6)
 
 
+def _texts(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    return spread_small(read_table(spark, sf_dir, table).select(*columns))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _texts(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def _comparable(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
@@ -194,7 +199,7 @@ def append_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", text_functions.preview("text").alias("preview"))
 
 
@@ -238,14 +243,14 @@ def _feature(name: str) -> Query:
 
 def _features(table: str, key: str, text: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        featured = with_text_features(read_table(spark, sf_dir, table).select(key, text), text)
+        featured = with_text_features(_texts(spark, sf_dir, table, key, text), text)
         return _comparable(featured, tuple(text_functions.TEXT_FEATURES)).drop(text)
 
     return query
 
 
 def conversation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = _texts(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     featured = with_text_features(turns, "text")
     return _comparable(featured, tuple(text_functions.TEXT_FEATURES)).drop("text")
 
@@ -273,7 +278,7 @@ def _joined(make: Callable[[str], Column], out: str) -> Query:
 
 
 def _fit(spark: SparkSession, sf_dir: str, table: str = "documents") -> tfidf.TfidfModel:
-    return tfidf.fit_tfidf(read_table(spark, sf_dir, table).select("text"), "text")
+    return tfidf.fit_tfidf(_texts(spark, sf_dir, table, "text"), "text")
 
 
 def vocab_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +341,7 @@ def tfidf_wide_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labeled = _labeled(spark, sf_dir)
+    labeled = spread_small(_labeled(spark, sf_dir))
     model = tfidf.fit_tfidf(labeled)
     return feature_report(labeled, len(model.terms)).withColumn("pct", _six("pct"))
 
