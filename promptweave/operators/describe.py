@@ -32,29 +32,24 @@ class _Interval:
     below: int
 
     def bin_of(self) -> Column:
+        """Number of the value's bin, NULL outside of the interval."""
         value = F.col(self.column)
         scaled = (value - self.low) / F.lit(self.high - self.low) * BINS
-        return F.least(scaled.cast("int"), F.lit(BINS - 1))
-
-    def holds(self) -> Column:
-        return F.col(self.column).between(self.low, self.high)
+        inside = F.least(scaled.cast("int"), F.lit(BINS - 1))
+        return F.when(value.between(self.low, self.high), inside)
 
 
 def _histograms(df: DataFrame, intervals: Sequence[_Interval]) -> dict[_Interval, list]:
     """Non-empty bins ``(min, max, count)`` of every interval, in order, in one job."""
     entries = [
-        F.when(
-            i.holds(),
-            F.struct(
-                F.lit(n).alias("interval"),
-                i.bin_of().alias("bin"),
-                F.col(i.column).alias("value"),
-            ),
+        F.struct(
+            F.lit(n).alias("interval"), i.bin_of().alias("bin"), F.col(i.column).alias("value")
         )
         for n, i in enumerate(intervals)
     ]
     bins = (
-        df.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
+        df.select(F.explode(F.array(*entries)).alias("e"))
+        .where("e.bin IS NOT NULL")
         .groupBy("e.interval", "e.bin")
         .agg(
             F.min("e.value").alias("low"),

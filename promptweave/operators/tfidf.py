@@ -218,8 +218,7 @@ def sparsity(df: DataFrame, vector_col: str, width: int) -> DataFrame:
 
 def widen(df: DataFrame, model: TfidfModel, prefix: str = "tfidf_") -> DataFrame:
     """Replace the vector by one double column per term. For export only."""
-    cells = "__cells"
-    listed = df.withColumn(cells, vector_to_array(model.out))
-    columns = [F.col(cells)[i].alias(f"{prefix}{t}") for i, t in enumerate(model.terms)]
-    others = [F.col(c) for c in df.columns if c != model.out]
-    return listed.select(*others, *columns)
+    listed = df.withColumn("__cells", vector_to_array(model.out))
+    others = [f"`{c}`" for c in df.columns if c != model.out]
+    cells = [f"__cells[{i}] AS `{prefix}{term}`" for i, term in enumerate(model.terms)]
+    return listed.selectExpr(*others, *cells)

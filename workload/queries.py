@@ -333,11 +333,12 @@ def tfidf_wide_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column sums of the wide export, one row per term."""
     model = _fit(spark, sf_dir)
     wide = tfidf.widen(model.transform(_documents(spark, sf_dir)), model)
-    columns = [f"tfidf_{t}" for t in model.terms]
-    sums = wide.agg(F.array(*[F.sum(f"`{c}`") for c in columns]).alias("sums"))
-    names = F.array(*[F.lit(c) for c in columns])
-    cells = sums.select(F.inline(F.arrays_zip(names.alias("feature"), "sums")))
-    return cells.toDF("feature", "total").withColumn("total", F.round("total", 4))
+    columns = [c for c in wide.columns if c.startswith("tfidf_")]
+    names = ", ".join(term_functions.sql_text(c) for c in columns)
+    values = ", ".join(f"`{c}`" for c in columns)
+    cells = wide.selectExpr(f"inline(arrays_zip(array({names}), array({values})))")
+    totals = cells.toDF("feature", "weight").groupBy("feature").agg(F.sum("weight").alias("total"))
+    return totals.withColumn("total", F.round("total", 4))
 
 
 def feature_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
