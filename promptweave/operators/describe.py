@@ -2,7 +2,7 @@
 
 An exact percentile aggregate would keep every distinct value of a column in
 one task. Here each quartile's rank is closed in on instead: count the values
-of an interval by equal-width bins, step into the bin that holds the rank,
+of an interval by bins, step into the bin that holds the rank,
 repeat until that bin holds one distinct value. Every pass returns at most
 ``BINS`` rows per open interval and moves no values between executors.
 """
@@ -20,6 +20,7 @@ from promptweave.session import shared_folder
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 BINS = 512
+WIDE_RATIO = 1000.0
 
 
 @dataclass(frozen=True)
@@ -32,11 +33,19 @@ class _Interval:
     below: int
 
     def bin_of(self) -> Column:
-        """Number of the value's bin, NULL outside of the interval."""
-        value = F.col(self.column)
-        scaled = (value - self.low) / F.lit(self.high - self.low) * BINS
-        inside = F.least(scaled.cast("int"), F.lit(BINS - 1))
-        return F.when(value.between(self.low, self.high), inside)
+        """Number of the value's bin, NULL outside of the interval.
+
+        Bins are of equal width, or of equal ratio where a positive interval
+        spans orders of magnitude. Both ends of the interval are values of the
+        column and fall into different bins, so every pass narrows it.
+        """
+        value, low, high = F.col(self.column), F.lit(self.low), F.lit(self.high)
+        if self.low > 0 and self.high > WIDE_RATIO * self.low:
+            share = (F.ln(value) - F.ln(low)) / (F.ln(high) - F.ln(low))
+        else:
+            share = (value - low) / (high - low)
+        inside = F.least((share * BINS).cast("int"), F.lit(BINS - 1))
+        return F.when(value.between(low, high), inside)
 
 
 def _histograms(df: DataFrame, intervals: Sequence[_Interval]) -> dict[_Interval, list]:

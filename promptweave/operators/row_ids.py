@@ -29,7 +29,7 @@ def _splits(df: DataFrame, key: str, buckets: int) -> tuple[list[float], list[in
     steps = [i / buckets for i in range(1, buckets)]
     wide = df.select(F.col(key).cast("double").alias(key))
     quantiles = wide.approxQuantile(key, steps, 1.0 / buckets) if steps else []
-    borders = set(quantiles)
+    borders = set(quantiles) or {0.0}
     hot = {q for q in borders if quantiles.count(q) > 2 and abs(q) < EXACT_DOUBLE}
     borders |= {math.nextafter(q, math.inf) for q in hot}
     splits = [-math.inf, *sorted(borders), math.inf]
