@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
@@ -12,28 +13,34 @@ from pyspark.sql import types as T
 
 MAX_BUCKETS = 10_000
 BUCKETS_PER_PARTITION = 8
+HOT_ROWS = 1_000_000
 SLICES_OF_A_HOT_KEY = 64
 EXACT_DOUBLE = float(2**53)
 
+_KEY = "__key"
 _BUCKET = "__bucket"
 _SLICE = "__slice"
 _TIE = "__tie"
 _OFFSET = "__offset"
 
 
-def _splits(df: DataFrame, key: str, buckets: int) -> tuple[list[float], list[int]]:
-    """Bucket borders of about equal depth, and the buckets that hold one hot key.
+def _splits(df: DataFrame, key: str, buckets: int) -> tuple[list[float], set[int]]:
+    """Bucket borders of about equal depth, and the buckets that hold a single key.
 
     A key so frequent that it fills several quantiles gets a bucket to itself.
     """
     steps = [i / buckets for i in range(1, buckets)]
     wide = df.select(F.col(key).cast("double").alias(key))
     quantiles = wide.approxQuantile(key, steps, 1.0 / buckets) if steps else []
-    borders = set(quantiles) or {0.0}
-    hot = {q for q in borders if quantiles.count(q) > 2 and abs(q) < EXACT_DOUBLE}
-    borders |= {math.nextafter(q, math.inf) for q in hot}
-    splits = [-math.inf, *sorted(borders), math.inf]
-    return splits, [i for i, low in enumerate(splits) if low in hot]
+    repeated = {q for q, n in Counter(quantiles).items() if n > 2 and abs(q) < EXACT_DOUBLE}
+    borders = set(quantiles) | {math.nextafter(q, math.inf) for q in repeated}
+    splits = [-math.inf, *sorted(borders or {0.0}), math.inf]
+    return splits, {i for i, low in enumerate(splits) if low in repeated}
+
+
+def _sizes(placed: DataFrame, *columns: str) -> dict[tuple[int, ...], int]:
+    counts = placed.groupBy(*columns).agg(F.count("*").alias("n")).collect()
+    return {tuple(r[c] for c in columns): r["n"] for r in counts}
 
 
 def with_dense_id(
@@ -42,17 +49,19 @@ def with_dense_id(
     id_col: str = "id",
     start: int = 0,
     buckets: int | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``start .. start+n-1`` in the order of a numeric, non-null row key.
 
     1. Quantiles of the key give fixed borders, so every later pass puts a row
        into the same bucket, also when a lost executor repeats its work.
-    2. Rows per bucket are counted (at most ``MAX_BUCKETS`` groups plus the
+    2. Rows per bucket are counted (at most ``MAX_BUCKETS`` groups, plus the
        slices of hot keys) and summed up to the first id of each bucket.
     3. ``row_number`` within a bucket, plus that offset, is the id.
 
-    The key should be unique. Equal keys are put in order by a hash of the row,
-    and a key frequent enough to fill buckets is split into slices by it.
+    The first two steps read nothing but the key of a stored table. The key
+    should be unique: equal keys are put in order by a hash of the row, and a
+    key with more than ``hot_rows`` rows is split into slices by that hash.
     """
     kind = df.schema[key].dataType
     if not isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType)):
@@ -62,32 +71,35 @@ def with_dense_id(
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         buckets = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * partitions)
 
-    splits, hot = _splits(df, key, buckets)
-    as_double = "__key"
-    bucketizer = Bucketizer(
-        splits=splits, inputCol=as_double, outputCol=_BUCKET, handleInvalid="error"
-    )
-    slice_of = F.lit(0)
+    splits, single_key = _splits(df, key, buckets)
+    bucketizer = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="error")
+    placed = bucketizer.transform(df.withColumn(_KEY, F.col(key).cast("double")))
+    placed = placed.withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
+
+    sizes = {(bucket, 0): n for (bucket,), n in _sizes(placed, _BUCKET).items()}
+    if (None, 0) in sizes:
+        raise ValueError(f"row key {key!r} is NULL in {sizes[None, 0]} rows")
+    hot = [b for b, _ in sizes if b in single_key and sizes[b, 0] > hot_rows]
+    slice_of = F.lit(0)
     if hot:
-        in_hot = F.col(_BUCKET).isin(hot)
-        slice_of = F.when(in_hot, F.pmod(tie, F.lit(SLICES_OF_A_HOT_KEY)).cast("int")).otherwise(0)
-    placed = bucketizer.transform(df.withColumn(as_double, F.col(key).cast("double")))
-    placed = placed.withColumn(_BUCKET, F.col(_BUCKET).cast("int")).withColumn(_SLICE, slice_of)
+        slice_of = F.pmod(tie, F.lit(SLICES_OF_A_HOT_KEY)).cast("int")
+        slices = placed.where(F.col(_BUCKET).isin(hot)).withColumn(_SLICE, slice_of)
+        sizes = {k: n for k, n in sizes.items() if k[0] not in hot}
+        sizes |= _sizes(slices, _BUCKET, _SLICE)
+        slice_of = F.when(F.col(_BUCKET).isin(hot), slice_of).otherwise(0)
 
-    sizes = sorted(
-        (r[_BUCKET], r[_SLICE], r["count"]) for r in placed.groupBy(_BUCKET, _SLICE).count().collect()
-    )
-    firsts = accumulate((n for _, _, n in sizes), initial=start)
+    places = sorted(sizes)
+    firsts = accumulate((sizes[place] for place in places), initial=start)
     offsets = spark.createDataFrame(
-        [(b, s, first) for (b, s, _), first in zip(sizes, firsts)],
+        [(*place, first) for place, first in zip(places, firsts)],
         f"{_BUCKET} int, {_SLICE} int, {_OFFSET} long",
     )
-    in_bucket = Window.partitionBy(_BUCKET, _SLICE).orderBy(key, _TIE)
+    in_place = Window.partitionBy(_BUCKET, _SLICE).orderBy(key, _TIE)
     numbered = (
-        placed.withColumn(_TIE, tie)
-        .withColumn(id_col, F.row_number().over(in_bucket))
-        .join(F.broadcast(offsets), [_BUCKET, _SLICE])
+        placed.withColumns({_SLICE: slice_of, _TIE: tie})
+        .withColumn(id_col, F.row_number().over(in_place))
+        .join(F.broadcast(offsets), [_BUCKET, _SLICE], "left")
         .withColumn(id_col, F.col(_OFFSET) + F.col(id_col) - 1)
     )
     return numbered.select(id_col, *[c for c in df.columns if c != id_col])

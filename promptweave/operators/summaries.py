@@ -11,10 +11,13 @@ from promptweave.functions.text import percent_bar
 IMBALANCE_ALARM = 1.5
 
 
+def _counts(df: DataFrame, col: str) -> DataFrame:
+    return df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("count"))
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Rows per value, largest first; NULL is not a value, ties go by value."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("count"))
-    return counts.orderBy(F.desc("count"), col)
+    return _counts(df, col).orderBy(F.desc("count"), col)
 
 
 def model_coverage(labeled: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def tier_shares(df: DataFrame, tier_col: str = TIER_COL) -> DataFrame:
 
     The window without keys runs over the grouped rows, one per tier.
     """
-    counts = value_counts(df, tier_col)
+    counts = _counts(df, tier_col)
     total = F.sum("count").over(Window.partitionBy())
     return counts.select(tier_col, "count", (F.col("count") * F.lit(100.0) / total).alias("pct"))
 
@@ -43,7 +46,6 @@ def imbalance(
     df: DataFrame, tier_col: str = TIER_COL, alarm: float = IMBALANCE_ALARM
 ) -> DataFrame:
     """Largest over smallest tier; no rows give a NULL ratio and no flag."""
-    counts = df.where(F.col(tier_col).isNotNull()).groupBy(tier_col).agg(F.count("*").alias("n"))
-    ratio = F.max("n").cast("double") / F.min("n")
+    ratio = F.max("count").cast("double") / F.min("count")
     flagged = F.coalesce(F.col("ratio") > alarm, F.lit(False))
-    return counts.agg(ratio.alias("ratio")).withColumn("imbalanced", flagged)
+    return _counts(df, tier_col).agg(ratio.alias("ratio")).withColumn("imbalanced", flagged)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptweave.config import TIER_COL
@@ -14,36 +14,26 @@ def feature_report(
 ) -> DataFrame:
     """``(metric, value, pct)``: rows, sizes of the feature groups, rows per tier.
 
-    One grouping by tier feeds everything; percents are of all rows, those
-    without a tier included.
+    Both halves start from one grouping by tier, whose exchange Spark reuses.
+    Percents are of all rows, those without a tier included.
     """
     per_tier = features.groupBy(tier_col).agg(F.count("*").alias("n"))
     hand_made = len(STATISTICAL_FEATURES) + len(SEMANTIC_FEATURES)
     sizes = {
-        "statistical_features": len(STATISTICAL_FEATURES),
-        "semantic_features": len(SEMANTIC_FEATURES),
-        "tfidf_features": n_terms,
-        "total_feature_columns": hand_made + n_terms,
+        "input_rows": F.coalesce(F.sum("n"), F.lit(0)),
+        "statistical_features": F.lit(len(STATISTICAL_FEATURES)),
+        "semantic_features": F.lit(len(SEMANTIC_FEATURES)),
+        "tfidf_features": F.lit(n_terms),
+        "total_feature_columns": F.lit(hand_made + n_terms),
     }
-    no_pct = F.lit(None).cast("double")
-
-    def line(metric, value, pct=no_pct):
-        return F.struct(
-            F.lit(metric).alias("metric") if isinstance(metric, str) else metric.alias("metric"),
-            value.cast("long").alias("value"),
-            pct.alias("pct"),
+    totals = per_tier.agg(*[size.cast("long").alias(name) for name, size in sizes.items()])
+    fixed = totals.unpivot([], list(sizes), "metric", "value")
+
+    # One row per tier is left by now, so the window over all of them is small.
+    share = F.col("n") * F.lit(100.0) / F.sum("n").over(Window.partitionBy())
+    tiers = per_tier.select(tier_col, "n", share.alias("pct")).where(F.col(tier_col).isNotNull())
+    return fixed.withColumn("pct", F.lit(None).cast("double")).unionByName(
+        tiers.select(
+            F.concat(F.lit("tier:"), F.col(tier_col)).alias("metric"), F.col("n").alias("value"), "pct"
         )
-
-    # Grouped by tier, so the list holds one entry per tier.
-    tiers = F.collect_list(F.when(F.col(tier_col).isNotNull(), F.struct(tier_col, "n")))
-    total = F.coalesce(F.sum("n"), F.lit(0))
-    one_row = per_tier.agg(total.alias("rows"), tiers.alias("tiers"))
-    fixed = [line("input_rows", F.col("rows"))]
-    fixed += [line(name, F.lit(size)) for name, size in sizes.items()]
-    by_tier = F.transform(
-        "tiers",
-        lambda t: line(
-            F.concat(F.lit("tier:"), t[tier_col]), t["n"], t["n"] * F.lit(100.0) / F.col("rows")
-        ),
     )
-    return one_row.select(F.inline(F.concat(F.array(*fixed), by_tier)))

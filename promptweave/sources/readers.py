@@ -67,7 +67,8 @@ def read_csv(
 
     A quoted newline makes a file unsplittable, so a file is one task: keep
     files small (the writer does) and land Parquet for repeated use.
-    ``na_words`` lists texts to take as NULL; by default they stay text.
+    ``na_words`` lists texts to take as NULL; by default they stay text. CSV
+    has no empty text apart from a missing one, so both come back as NULL.
     """
     found = _load(_csv_reader(spark), path, hint)
     wanted = list(columns) if columns is not None else schema.names

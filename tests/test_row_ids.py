@@ -45,7 +45,7 @@ def test_a_key_with_a_third_of_the_rows_is_split(spark):
         F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000).cast("long").alias("k"),
         F.col("id").alias("payload"),
     )
-    numbered_df = with_dense_id(df, "k")
+    numbered_df = with_dense_id(df, "k", hot_rows=1000)
     rows = numbered_df.orderBy("id").collect()
     assert [r["id"] for r in rows] == list(range(30_000))
     keys = [r["k"] for r in rows]
@@ -66,3 +66,9 @@ def test_other_key_types_are_refused(spark):
     df = spark.createDataFrame([("a",)], "k string")
     with pytest.raises(TypeError, match="row key"):
         with_dense_id(df, "k")
+
+
+def test_null_keys_are_refused(spark):
+    df = spark.createDataFrame([(1,), (None,)], "k long")
+    with pytest.raises(ValueError, match="NULL in 1 rows"):
+        with_dense_id(df, "k")
