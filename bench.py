@@ -1,8 +1,8 @@
 """Time the headline queries and print one JSON line.
 
 ``BENCH_SF_DIR`` names the data, ``BENCH_CPUS`` the cores. Every query runs to
-its last row (``noop`` sink), once to warm up the JVM on the smallest data and
-then once for the clock.
+its last row (``noop`` sink), planning included: once on the smallest data to warm
+up the JVM, then twice for the clock, of which the faster run is reported.
 """
 
 from __future__ import annotations
@@ -62,12 +62,16 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+
+    def run(name: str, sf_dir: str) -> float:
+        start = time.perf_counter()
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return round(time.perf_counter() - start, 3)
+
     seconds = {}
     for name in names:
-        for sf_dir in (WARM_UP_DIR, SF_DIR):
-            start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            seconds[name] = round(time.perf_counter() - start, 3)
+        run(name, WARM_UP_DIR)
+        seconds[name] = min(run(name, SF_DIR) for _ in range(2))
     result = {
         "metric": "total_query_seconds",
         "value": round(sum(seconds.values()), 3),

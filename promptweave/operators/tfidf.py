@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptweave.functions.constants import ENGLISH_STOP_WORDS
@@ -54,24 +54,39 @@ def counted_terms(df: DataFrame, terms: str) -> DataFrame:
     )
 
 
-def _top(counts: DataFrame, n: int, first: Column | None = None) -> list[Term]:
-    order = [F.desc("tf"), F.col("term")]
-    ranked = counts.orderBy(*([first] if first is not None else []), *order).limit(n)
-    return [Term(r["term"], r["tf"], r["df"]) for r in ranked.collect()]
-
-
-def _common_bigrams_sql(words: str, frequent: Iterable[str] | None) -> str:
-    """Bigrams of ``words``; with a list, only those made of two listed words."""
-    pair = "a || ' ' || b"
-    if frequent is not None:
-        listed = ", ".join(sql_text(w) for w in frequent)
-        pair = f"CASE WHEN a IN ({listed}) AND b IN ({listed}) THEN {pair} END"
+def _candidates_sql(words: str, frequent: Iterable[str]) -> str:
+    """Of the words and bigrams of a text, those made of listed words only."""
+    listed = ", ".join(sql_text(w) for w in frequent)
     return (
-        f"transform(array({words}), ws -> array_compact("
-        f"zip_with(ws, slice(ws, 2, size(ws)), (a, b) -> {pair})))[0]"
+        f"transform(array({words}), ws -> concat(filter(ws, w -> w IN ({listed})), "
+        f"array_compact(zip_with(ws, slice(ws, 2, size(ws)), (a, b) -> "
+        f"CASE WHEN a IN ({listed}) AND b IN ({listed}) THEN a || ' ' || b END))))[0]"
     )
 
 
+def _frequent_words(
+    df: DataFrame, words: str, max_features: int
+) -> tuple[int, list[str] | None]:
+    """Number of rows, and the words as frequent as the last that would make the cut alone.
+
+    Every row also holds one empty word, whose count is the number of rows. The
+    list is None where ties at the floor make it longer than four times the cut.
+    """
+    exploded = df.select(F.explode_outer(F.expr(f"concat(array(''), {words})")).alias("word"))
+    counts = exploded.groupBy("word").agg(F.count("*").alias("tf"))
+    limit = 4 * max_features
+    order = (F.col("word") != "", F.desc("tf"), F.col("word"))
+    top = [(r["word"], r["tf"]) for r in counts.orderBy(*order).limit(limit + 2).collect()]
+    if not top:
+        return 0, []
+    (_, rows), *ranked = top
+    if len(ranked) < max_features:
+        return rows, [w for w, _ in ranked]
+    floor = ranked[max_features - 1][1]
+    frequent = [w for w, n in ranked if n >= floor]
+    return rows, frequent if len(frequent) <= limit else None
+
+
 def fit_tfidf(
     df: DataFrame,
     text_col: str = "user_prompt",
@@ -84,30 +99,21 @@ def fit_tfidf(
     Bigrams outnumber words by orders of magnitude, so words are counted first.
     Let ``floor`` be the count of the last word that would make the cut alone:
     whatever the final cut is, its terms occur at least ``floor`` times, and a
-    bigram is never more frequent than either of its words. So only pairs of
-    words that reach ``floor`` are counted, which loses nothing. Where ties at
-    ``floor`` make that list long, as in a tiny corpus, all pairs are counted.
+    bigram is never more frequent than either of its words. So the second pass
+    counts only words that reach ``floor`` and pairs of such words, which loses
+    nothing. Where ties at ``floor`` make that list long, as in a tiny corpus,
+    it counts all terms.
 
     Ties in the cut go to the alphabetically first term.
     """
     stop = tuple(stop_words)
     words = content_words_sql(text_col, stop)
-
-    # Every row also holds one empty term, so that its count is the number of rows.
-    with_row_mark = counted_terms(df, f"concat(array(''), {words})")
-    listed = 4 * max_features
-    top_words = _top(with_row_mark, listed + 1, first=F.col("term") != "")
-    n_docs = top_words.pop(0).df if top_words else 0
-
-    frequent: list[str] | None = None
-    if len(top_words) < listed or top_words[-1].tf < top_words[max_features - 1].tf:
-        floor = top_words[max_features - 1].tf if len(top_words) >= max_features else 1
-        frequent = [t.term for t in top_words if t.tf >= floor]
-    bigrams = _common_bigrams_sql(words, frequent)
-    top_bigrams = _top(counted_terms(df, bigrams), max_features) if top_words else []
-
-    ranked = sorted(top_words + top_bigrams, key=lambda t: (-t.tf, t.term))[:max_features]
-    chosen = sorted(ranked, key=lambda t: t.term)
+    n_docs, frequent = _frequent_words(df, words, max_features)
+    if frequent is not None and not frequent:
+        raise ValueError("no terms to fit: the texts hold only stop words or nothing")
+    terms = terms_sql(text_col, stop) if frequent is None else _candidates_sql(words, frequent)
+    top = counted_terms(df, terms).orderBy(F.desc("tf"), "term").limit(max_features).collect()
+    chosen = sorted((Term(r["term"], r["tf"], r["df"]) for r in top), key=lambda t: t.term)
     return TfidfModel.build(df.sparkSession, chosen, n_docs, text_col, out, stop)
 
 
@@ -131,26 +137,17 @@ class TfidfModel:
         stop_words: Iterable[str],
     ) -> TfidfModel:
         terms, counts, weighted = (f"{out}__{s}" for s in ("terms", "counts", "weighted"))
+        names = [t.term for t in vocabulary]
+        idf = Vectors.dense([smooth_idf(n_docs, t.df) for t in vocabulary])
+        split = f"SELECT *, {terms_sql(text_col, stop_words)} AS {terms} FROM __THIS__"
+        tidy = f"SELECT * EXCEPT ({terms}, {counts}, {weighted}) FROM __THIS__"
         stages = [
-            SQLTransformer(
-                statement=f"SELECT *, {terms_sql(text_col, stop_words)} AS {terms} FROM __THIS__"
-            )
+            SQLTransformer(statement=split),
+            CountVectorizerModel.from_vocabulary(names, inputCol=terms, outputCol=counts),
+            ElementwiseProduct(scalingVec=idf, inputCol=counts, outputCol=weighted),
+            Normalizer(p=2.0, inputCol=weighted, outputCol=out),
+            SQLTransformer(statement=tidy),
         ]
-        if vocabulary:
-            names = [t.term for t in vocabulary]
-            idf = [smooth_idf(n_docs, t.df) for t in vocabulary]
-            stages += [
-                CountVectorizerModel.from_vocabulary(names, inputCol=terms, outputCol=counts),
-                ElementwiseProduct(
-                    scalingVec=Vectors.dense(idf), inputCol=counts, outputCol=weighted
-                ),
-                Normalizer(p=2.0, inputCol=weighted, outputCol=out),
-                SQLTransformer(
-                    statement=f"SELECT * EXCEPT ({terms}, {counts}, {weighted}) FROM __THIS__"
-                ),
-            ]
-        else:
-            raise ValueError("no terms to fit: the texts hold only stop words or nothing")
         return cls(vocabulary, n_docs, out, PipelineModel(stages))
 
     @property

@@ -85,7 +85,7 @@ def test_texts_are_tokenised_once_per_row(spark):
     for terms in (
         content_words_sql("text", ENGLISH_STOP_WORDS),
         terms_sql("text", ENGLISH_STOP_WORDS),
-        tfidf._common_bigrams_sql(content_words_sql("text", ENGLISH_STOP_WORDS), ["aa", "bb"]),
+        tfidf._candidates_sql(content_words_sql("text", ENGLISH_STOP_WORDS), ["aa", "bb"]),
     ):
         plan = plan_of(tfidf.counted_terms(docs, terms))
         assert plan.count("regexp_extract_all") == 1

@@ -128,6 +128,16 @@ def test_one_long_run_of_a_character(spark):
     assert tuple(row) == (0.0, 1, 2_000_000)
 
 
+def test_entropy_of_texts_with_very_many_characters(spark):
+    rng = random.Random(11)
+    kinds = [[chr(c) for c in range(0x4E00, 0x4E00 + n)] for n in (63, 64, 65, 66, 500)]
+    texts = ["".join(rng.choices(kind + ["😀"], k=3000)) for kind in kinds]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.orderBy("i").select(text.char_entropy("t")).collect()
+    for t, row in zip(texts, rows, strict=True):
+        assert row[0] == pytest.approx(expected(t)["char_entropy"], abs=1e-9)
+
+
 def test_entropy_never_exceeds_log_of_distinct(spark):
     df = spark.createDataFrame([(t,) for t in random_texts(500) if t], "t string")
     distinct = F.size(F.array_distinct(F.split("t", "")))

@@ -80,13 +80,11 @@ def test_a_bigram_wins_a_tie_against_a_word(spark):
     assert model.terms == ["alpha", "alpha beta", "beta"]
 
 
-def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
+def test_only_terms_of_frequent_words_are_counted(spark, monkeypatch):
     texts = corpus(150, 60)
     seen = []
-    real = tfidf._common_bigrams_sql
-    monkeypatch.setattr(
-        tfidf, "_common_bigrams_sql", lambda w, f: seen.append(f) or real(w, f)
-    )
+    real = tfidf._candidates_sql
+    monkeypatch.setattr(tfidf, "_candidates_sql", lambda w, f: seen.append(f) or real(w, f))
     fit_tfidf(frame(spark, texts), max_features=10)
     counts = Counter(w for t in texts for w in terms_of(t) if " " not in w)
     floor = counts.most_common(10)[-1][1]
