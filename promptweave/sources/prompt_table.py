@@ -22,6 +22,9 @@ def save_prompts(
     Ids are dense in the order of ``key``. An append goes on after the largest
     stored id, so ids stay unique. The table is partitioned by tier, which lets
     a fetch of one tier skip the files of the others.
+
+    Give it a stored table: the passes that place the ids then read nothing but
+    the key, while a derived input is computed anew by each of them.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode must be 'overwrite' or 'append', not {mode!r}")

@@ -179,6 +179,7 @@ cells AS (
 
 
 DOC_VOCABULARY = _vocabulary("documents", "doc_id", "text")
+CELLS = f"WITH {DOC_VOCABULARY} SELECT doc_id, term, round(weight, 6) AS weight FROM cells"
 INDEXED = "SELECT row_number() OVER (ORDER BY term) - 1 AS idx, term, tf, df FROM vocabulary"
 
 ORACLES: dict[str, str] = {
@@ -289,8 +290,17 @@ ORACLES: dict[str, str] = {
     "documents_all": f"""
         WITH {STORED} SELECT id AS doc_id, user_prompt, "Target_Tier" FROM stored""",
     "csv_roundtrip": f"""WITH {LABELED} SELECT battle_id, user_prompt, "Target_Tier" FROM labeled""",
+    "csv_na_words": f"""
+        WITH {BATTLES}
+        SELECT battle_id, nullif(model_a, 'gpt-4') AS model_a, nullif(model_b, 'gpt-4') AS model_b,
+               nullif(winner, 'tie') AS winner
+        FROM battles""",
     "csv_pages": "SELECT page_id, url, html FROM pages",
     **{name: _feature_query("documents", "doc_id", "text", (name,)) for name in FEATURES},
+    "common_word_count": """
+        SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'),
+            lambda w: w IN ('the', 'and', 'with', 'die', 'und', 'les', 'que', 'tion'))) AS hits
+        FROM documents""",
     "text_features": _feature_query("documents", "doc_id", "text"),
     "page_features": _feature_query("pages", "page_id", "html"),
     "conversation_features": _feature_query("conversations", "conv_id, turn", "text"),
@@ -310,7 +320,8 @@ ORACLES: dict[str, str] = {
     "vocab_top": f"WITH {DOC_VOCABULARY} {INDEXED}",
     "idf_table": f"WITH {DOC_VOCABULARY} SELECT term, df, round(idf, 6) AS idf FROM vocabulary",
     "benchmark_vocab": f"WITH {_vocabulary('benchmark', 'item_id', 'text')} {INDEXED}",
-    "tfidf_long": f"WITH {DOC_VOCABULARY} SELECT doc_id, term, round(weight, 6) AS weight FROM cells",
+    "tfidf_long": CELLS,
+    "tfidf_reloaded": CELLS,
     "tfidf_sparsity": f"""
         WITH {DOC_VOCABULARY}, sizes AS (
             SELECT (SELECT count(*) FROM documents) AS "rows",

@@ -223,6 +223,14 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.label_job(spark, raw, out, as_csv=True)
 
 
+def csv_na_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some words are taken as missing when the raw CSV is read."""
+    raw = scratch_path(spark, "raw")
+    writers.write_csv(battles(spark, sf_dir), raw)
+    read = readers.read_raw_battles_csv(spark, raw, keep=("battle_id",), na_words=("tie", "gpt-4"))
+    return read.select("battle_id", "model_a", "model_b", "winner")
+
+
 def csv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "pages")
     pages = read_table(spark, sf_dir, "pages")
@@ -249,6 +257,15 @@ def _features(table: str, key: str, text: str) -> Query:
     return query
 
 
+COMMON_WORDS = ("the", "and", "with", "die", "und", "les", "que", "tion")
+
+
+def common_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword counting with words these texts do hold."""
+    count = text_functions.complex_keyword_count("text", COMMON_WORDS)
+    return _documents(spark, sf_dir).select("doc_id", count.cast("long").alias("hits"))
+
+
 def conversation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _texts(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     featured = with_text_features(turns, "text")
@@ -303,6 +320,15 @@ def tfidf_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.long_form(scored, model, "doc_id").withColumn("weight", _six("weight"))
 
 
+def tfidf_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells from a model that was saved and loaded again."""
+    path = scratch_path(spark, "model")
+    _fit(spark, sf_dir).save(path)
+    model = tfidf.TfidfModel.load(spark, path)
+    scored = model.transform(_documents(spark, sf_dir))
+    return tfidf.long_form(scored, model, "doc_id").withColumn("weight", _six("weight"))
+
+
 def tfidf_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _fit(spark, sf_dir)
     scored = model.transform(_documents(spark, sf_dir))
@@ -377,8 +403,10 @@ QUERIES: dict[str, Query] = {
     "documents_tier": documents_tier,
     "documents_all": documents_all,
     "csv_roundtrip": csv_roundtrip,
+    "csv_na_words": csv_na_words,
     "csv_pages": csv_pages,
     **{name: _feature(name) for name in text_functions.TEXT_FEATURES},
+    "common_word_count": common_word_count,
     "text_features": _features("documents", "doc_id", "text"),
     "page_features": _features("pages", "page_id", "html"),
     "conversation_features": conversation_features,
@@ -391,6 +419,7 @@ QUERIES: dict[str, Query] = {
     "idf_table": idf_table,
     "benchmark_vocab": benchmark_vocab,
     "tfidf_long": tfidf_long,
+    "tfidf_reloaded": tfidf_reloaded,
     "tfidf_sparsity": tfidf_sparsity,
     "tfidf_wide_totals": tfidf_wide_totals,
     "feature_matrix": feature_matrix,
