@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptweave.operators.row_ids import with_dense_id
@@ -51,33 +51,25 @@ def read_prompts(spark: SparkSession, table: str = PROMPT_TABLE) -> DataFrame:
     return spark.table(table).select("id", "user_prompt", "Target_Tier")
 
 
+def _with_prompt(spark: SparkSession, table: str) -> DataFrame:
+    return read_prompts(spark, table).where(F.col("user_prompt").isNotNull())
+
+
 def fetch_prompts(
     spark: SparkSession, tier: str | None = None, table: str = PROMPT_TABLE
 ) -> DataFrame:
     """Stored prompts in id order, of one tier if given; rows without prompt are left out."""
-    query = """
-        SELECT id, user_prompt, Target_Tier
-        FROM IDENTIFIER(:table)
-        WHERE user_prompt IS NOT NULL {by_tier}
-        ORDER BY id
-    """
-    if tier is None:
-        return spark.sql(query.format(by_tier=""), args={"table": table})
-    by_tier = "AND Target_Tier = :tier"
-    return spark.sql(query.format(by_tier=by_tier), args={"table": table, "tier": tier})
+    rows = _with_prompt(spark, table)
+    if tier is not None:
+        rows = rows.where(F.col("Target_Tier") == F.lit(tier))
+    return rows.orderBy("id")
 
 
 def prompt_summary(spark: SparkSession, table: str = PROMPT_TABLE) -> DataFrame:
     """Prompts and percent per tier, largest first; the window sees one row per tier."""
-    return spark.sql(
-        """
-        SELECT Target_Tier,
-               count(*) AS prompt_count,
-               round(count(*) * 100D / sum(count(*)) OVER (), 2) AS pct
-        FROM IDENTIFIER(:table)
-        WHERE user_prompt IS NOT NULL
-        GROUP BY Target_Tier
-        ORDER BY prompt_count DESC, Target_Tier
-        """,
-        args={"table": table},
+    per_tier = _with_prompt(spark, table).groupBy("Target_Tier")
+    counts = per_tier.agg(F.count("*").alias("prompt_count"))
+    share = F.col("prompt_count") * F.lit(100.0) / F.sum("prompt_count").over(Window.partitionBy())
+    return counts.withColumn("pct", F.round(share, 2)).orderBy(
+        F.desc("prompt_count"), "Target_Tier"
     )
