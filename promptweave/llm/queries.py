@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from promptweave.llm.common import read_table
 from promptweave.llm.decontaminate import decontamination_report
+from promptweave.llm.main_text import main_text
 from promptweave.llm.mixing import mix_sources
 from promptweave.llm.order_minhash import fingerprints
 from promptweave.llm.pii import pii_report
@@ -62,6 +63,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, folder, manifest)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op4_pii,
         op5_repeats,
         op6_token_files,
+        op7_main_text,
         op8_decontaminate,
         op9_simhash,
         op10_quality,
