@@ -245,11 +245,11 @@ def sanitise(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, threshold: flo
         "WHEN s.disclosure < 0.999999 THEN '[TERM]' ELSE '' END"
     )
     rebuilt = (
-        "aggregate(spans, named_struct('at', 0L, 'parts', CAST(array() AS array<string>)), (a, s) -> "
+        "aggregate(_spans, named_struct('at', 0L, 'parts', CAST(array() AS array<string>)), (a, s) -> "
         "IF(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'parts', a.parts), "
         "named_struct('at', s.end, 'parts', concat(a.parts, array("
         f"substring(text, CAST(a.at + 1 AS INT), CAST(s.start - a.at AS INT)), {label})))), "
         "a -> concat(array_join(a.parts, ''), substring(text, CAST(a.at + 1 AS INT))))"
     )
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(rebuilt))
-    return scanned.join(found, "_key", "left").withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.expr(rebuilt))
+    return scanned.join(found.withColumnRenamed("spans", "_spans"), "_key", "left").withColumn("text", text).select(*docs.columns)

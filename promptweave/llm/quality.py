@@ -102,6 +102,11 @@ class BoostedTrees:
     threshold: np.ndarray
     value: np.ndarray
 
+    @property
+    def tells_apart(self) -> bool:
+        """Whether any node is split, so that scores of documents can differ."""
+        return bool(np.isfinite(self.threshold).any())
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each row of statistics."""
         trees, nodes = self.feature.shape
@@ -240,5 +245,10 @@ def score_documents(docs: DataFrame, model: BoostedTrees, reject_below: float =
 
 
 def keep_quality(docs: DataFrame, model: BoostedTrees, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The documents that are not rejected, with the columns they came with."""
+    """The documents that are not rejected, with the columns they came with.
+
+    A model that found nothing in its labels to tell documents apart rejects none.
+    """
+    if not model.tells_apart:
+        return docs
     return docs.withColumn("_quality", quality_score(model)).where(F.col("_quality") >= reject_below).drop("_quality")
