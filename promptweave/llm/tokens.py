@@ -23,39 +23,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END_ID = 2
-CACHED_CHUNKS = 400_000
-FLUSH_IDS = 1 << 22
+CACHED_CHUNKS = 500_000
 MANIFEST = "part int, name string, docs long, nulls long, ids long, width int"
 _blanks = re.compile(r"[ \n\t\r]+")
 
 
+class _Cache(dict):
+    """Makes what it lacks. Full, it starts anew but still looks into what it held before."""
+
+    def __init__(self, make: Callable[[str], object], size: int | None = None):
+        super().__init__()
+        self.make, self.size, self.before = make, size, {}
+
+    def __missing__(self, key: str):
+        made = self.before.get(key)
+        value = self[key] = self.make(key) if made is None else made
+        return value
+
+    def tidy(self) -> None:
+        if self.size and len(self) > self.size:
+            self.before = dict(self)
+            self.clear()
+
+
 class ChunkEncoder:
     """Encodes with a public tokenizer, chunk by chunk between blanks, remembering chunks.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its chunks in a row. At most ``CACHED_CHUNKS`` are kept.
+    text are those of its chunks in a row. A plain word, which its normaliser
+    and splitter leave whole but for the case, goes straight to its model, and
+    so do full stops and commas after it; all else takes the whole way. Up to
+    twice ``CACHED_CHUNKS`` chunks are kept.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {"": b""}
+        self.tokens_of = self.tokenizer.model.tokenize
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.packed = [i.to_bytes(self.width, "little") for i in range(size)]
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.byte_signs = _Cache(lambda sign: as_bytes(sign)[0][0])
+        self.stops = _Cache(lambda stops: self._whole(stops) if stops else b"")
+        self.known = _Cache(self._encoded, CACHED_CHUNKS)
+
+    def _whole(self, chunk: str) -> bytes:
+        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        return b"".join([self.packed[i] for i in ids])
+
+    def _encoded(self, chunk: str) -> bytes:
+        word = chunk.rstrip(".,")
+        # Letters up to U+024F have no other normal form; U+0130 is lowered to two signs.
+        if not word.isalpha() or not word.isascii() and (max(word) > "\u024f" or "\u0130" in word):
+            return self._whole(chunk)
+        lowered = word.lower()
+        if not lowered.isascii():
+            lowered = "".join([self.byte_signs[sign] for sign in lowered])
+        ids = b"".join([self.packed[token.id] for token in self.tokens_of(lowered)])
+        return ids if len(word) == len(chunk) else ids + self.stops[chunk[len(word) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
-        split = [_blanks.split(t) for t in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known = {"": b""}
-        known = self.known
-        unknown = list({c for chunks in split for c in chunks if c not in known})
-        kind = f"<u{self.width}"
-        for chunk, encoding in zip(
-            unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True
-        ):
-            known[chunk] = np.array(encoding.ids, kind).tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        self.known.tidy()
+        known = self.known.__getitem__
+        return [b"".join(map(known, _blanks.split(t))) for t in texts]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
