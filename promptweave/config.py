@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Names of columns and of the two winners in the tables that are exchanged.
+PROMPT_COL = "user_prompt"
 TIER_COL = "Target_Tier"
 WINNING_MODEL_COL = "winning_model"
 
@@ -43,7 +45,7 @@ class LabelRules:
 
     tiers: tuple[Tier, ...] = field(default=(LOCAL_TIER, API_TIER))
     decisive_winners: tuple[str, ...] = ("model_a", "model_b")
-    prompt_col: str = "user_prompt"
+    prompt_col: str = PROMPT_COL
     winner_col: str = "winner"
     model_a_col: str = "model_a"
     model_b_col: str = "model_b"

@@ -21,8 +21,9 @@ def first_messages(
 ) -> DataFrame:
     """The same for one row per message.
 
-    ``min_by`` keeps one candidate per conversation and map task, so a
-    conversation of any length costs a bounded buffer.
+    Of messages with the same turn the smallest text counts, one without text
+    before all. ``min_by`` keeps one candidate per conversation and map task,
+    so a conversation of any length costs a bounded buffer.
     """
-    opening = F.min_by(F.col(text), F.col(turn))
+    opening = F.min_by(F.col(text), F.struct(turn, text))
     return turns.groupBy(conversation_id).agg(F.coalesce(opening, F.lit("")).alias(out))

@@ -40,10 +40,12 @@ class _Interval:
         column and fall into different bins, so every pass narrows it.
         """
         value, low, high = F.col(self.column), F.lit(self.low), F.lit(self.high)
-        if self.low > 0 and self.high > WIDE_RATIO * self.low:
+        if self.low > 0 and self.high / WIDE_RATIO > self.low:
             share = (F.ln(value) - F.ln(low)) / (F.ln(high) - F.ln(low))
         else:
-            share = (value - low) / (high - low)
+            # The ends may be further apart than the largest double.
+            scale = 1.0 if math.isfinite(self.high - self.low) else 0.5
+            share = (value * scale - low * scale) / (high * scale - low * scale)
         inside = F.least((share * BINS).cast("int"), F.lit(BINS - 1))
         return F.when(value.between(low, high), inside)
 
@@ -56,9 +58,9 @@ def _histograms(df: DataFrame, intervals: Sequence[_Interval]) -> dict[_Interval
         )
         for n, i in enumerate(intervals)
     ]
+    inside = F.filter(F.array(*entries), lambda e: e["bin"].isNotNull())
     bins = (
-        df.select(F.explode(F.array(*entries)).alias("e"))
-        .where("e.bin IS NOT NULL")
+        df.select(F.explode(inside).alias("e"))
         .groupBy("e.interval", "e.bin")
         .agg(
             F.min("e.value").alias("low"),
@@ -104,7 +106,8 @@ def describe(
     """One row per column: count, mean, std (sample), min, quartiles, max.
 
     Quartiles interpolate linearly between neighbouring ranks and values are
-    rounded half to even; NULL and NaN are left out. ``materialise`` writes the
+    rounded half to even; NULL and NaN are left out. Infinities are the ends of
+    the order: ranks that fall on them need no search. ``materialise`` writes the
     numeric columns once to the shared folder, which pays off when they are
     computed from text; pass False for a table that is already stored.
     """
@@ -113,9 +116,13 @@ def describe(
         shared_folder(df.sparkSession)
         numbers = numbers.checkpoint()
     aggregates = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    basic = numbers.agg(
-        *[f(c).alias(f"{c}.{name}") for c in columns for name, f in aggregates.items()]
-    ).first()
+    endless = {"low": float("-inf"), "high": float("inf")}
+    counted = [f(c).alias(f"{c}.{name}") for c in columns for name, f in aggregates.items()]
+    for c in columns:
+        finite = F.when(~F.col(c).isin(*endless.values()), F.col(c))
+        counted += [F.count_if(F.col(c) == end).alias(f"{c}.{name}") for name, end in endless.items()]
+        counted += [F.min(finite).alias(f"{c}.from"), F.max(finite).alias(f"{c}.to")]
+    basic = numbers.agg(*counted).first()
 
     def stat(column: str, name: str):
         return basic[f"{column}.{name}"]
@@ -124,17 +131,31 @@ def describe(
     position = {
         (c, name): share * (stat(c, "count") - 1) for c in filled for name, share in QUARTILES.items()
     }
-    ranks = {
-        c: {f(position[c, q]) for q in QUARTILES for f in (math.floor, math.ceil)} for c in filled
-    }
-    values = _values_at(numbers, {c: (stat(c, "min"), stat(c, "max")) for c in filled}, ranks)
+    values: dict[tuple[str, int], float] = {}
+    ranks: dict[str, set] = {}
+    for c in filled:
+        below, above = stat(c, "low"), stat(c, "count") - stat(c, "high")
+        for rank in {f(position[c, q]) for q in QUARTILES for f in (math.floor, math.ceil)}:
+            if rank < below:
+                values[c, rank] = endless["low"]
+            elif rank >= above:
+                values[c, rank] = endless["high"]
+            else:
+                ranks.setdefault(c, set()).add(rank - below)
+    extent = {c: (stat(c, "from"), stat(c, "to")) for c in ranks}
+    found = _values_at(numbers, extent, ranks)
+    values |= {(c, rank + stat(c, "low")): value for (c, rank), value in found.items()}
 
     def quartile(column: str, name: str) -> float | None:
         if (column, name) not in position:
             return None
         rank = position[column, name]
         low, high = values[column, math.floor(rank)], values[column, math.ceil(rank)]
-        return low + (high - low) * (rank - math.floor(rank))
+        share = rank - math.floor(rank)
+        if share == 0 or low == high:
+            return low
+        step = (high - low) * share
+        return low + step if math.isfinite(step) or math.isinf(low) or math.isinf(high) else low * (1 - share) + high * share
 
     rows = [
         (

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptweave.config import TIER_COL, WINNING_MODEL_COL, LabelRules
+from promptweave.config import PROMPT_COL, TIER_COL, WINNING_MODEL_COL, LabelRules
 from promptweave.functions.text import strip
 from promptweave.schemas import require_columns
 
@@ -78,8 +78,11 @@ def label_wins_by_lookup(df: DataFrame, rules: LabelRules = LabelRules()) -> Dat
 def labeled_prompts(
     df: DataFrame, rules: LabelRules = LabelRules(), keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``(user_prompt, Target_Tier)``, preceded by key columns named in ``keep``."""
-    return label_wins(df, rules).select(*keep, rules.prompt_col, TIER_COL)
+    """``(user_prompt, Target_Tier)``, preceded by key columns named in ``keep``.
+
+    The prompt has that name whatever the rules call it in the input.
+    """
+    return label_wins(df, rules).select(*keep, F.col(rules.prompt_col).alias(PROMPT_COL), TIER_COL)
 
 
 def drop_rule(rules: LabelRules = LabelRules()) -> Column:

@@ -1,26 +1,21 @@
-"""Spread a small input over the cores before row-wise text work."""
+"""Spread an input over the cores before row-wise text work, where the caller asks for it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SMALL_PER_CORE = 32 * 1024 * 1024
+INPUT_TASKS = "spark.promptweave.inputTasks"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate, which for a file scan is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Repartition an input too small to have a block for every core.
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Deal rows to ``tasks`` partitions; as they are scanned if neither it nor the setting is given.
 
     A Parquet file is read by one task per row group, so a small table may keep
-    one core busy while the text functions do the real work. Its shuffle is
-    bounded by ``SMALL_PER_CORE`` bytes per core; a larger input stays as it is
-    scanned, without any shuffle.
+    one core busy while text functions do the real work. On a large one this
+    would shuffle every text for nothing, so it is never done unasked: give
+    ``tasks``, or set ``spark.promptweave.inputTasks`` for a session over small
+    files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or estimated_bytes(df) > SMALL_PER_CORE * cores:
-        return df
-    return df.repartition(2 * cores)
+    setting = df.sparkSession.conf.get(INPUT_TASKS, None)
+    tasks = tasks or (int(setting) if setting else None)
+    return df if tasks is None or df.isStreaming else df.repartition(tasks)

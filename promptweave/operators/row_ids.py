@@ -2,104 +2,64 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from itertools import accumulate
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_BUCKETS = 10_000
-BUCKETS_PER_PARTITION = 8
-HOT_ROWS = 1_000_000
-SLICES_OF_A_HOT_KEY = 64
-EXACT_DOUBLE = float(2**53)
+from promptweave.session import scratch_path
 
 _KEY = "__key"
-_BUCKET = "__bucket"
-_SLICE = "__slice"
 _TIE = "__tie"
-_OFFSET = "__offset"
-
-
-def _splits(df: DataFrame, key: str, buckets: int) -> tuple[list[float], set[int]]:
-    """Bucket borders of about equal depth, and the buckets that hold a single key.
-
-    A key so frequent that it fills several quantiles gets a bucket to itself.
-    """
-    steps = [i / buckets for i in range(1, buckets)]
-    wide = df.select(F.col(key).cast("double").alias(key))
-    quantiles = wide.approxQuantile(key, steps, 1.0 / buckets) if steps else []
-    repeated = {q for q, n in Counter(quantiles).items() if n > 2 and abs(q) < EXACT_DOUBLE}
-    borders = set(quantiles) | {math.nextafter(q, math.inf) for q in repeated}
-    splits = [-math.inf, *sorted(borders or {0.0}), math.inf]
-    return splits, {i for i, low in enumerate(splits) if low in repeated}
-
-
-def _sizes(placed: DataFrame, *columns: str) -> dict[tuple[int, ...], int]:
-    counts = placed.groupBy(*columns).agg(F.count("*").alias("n")).collect()
-    return {tuple(r[c] for c in columns): r["n"] for r in counts}
+_PLACE = "__place"
+_BASE = "__base"
+_PART = "__part"
 
 
 def with_dense_id(
     df: DataFrame,
-    key: str,
+    key: str | None = None,
     id_col: str = "id",
     start: int = 0,
-    buckets: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    n_rows: int | None = None,
 ) -> DataFrame:
-    """Add ``start .. start+n-1`` in the order of a numeric, non-null row key.
-
-    1. Quantiles of the key give fixed borders, so every later pass puts a row
-       into the same bucket, also when a lost executor repeats its work.
-    2. Rows per bucket are counted (at most ``MAX_BUCKETS`` groups, plus the
-       slices of hot keys) and summed up to the first id of each bucket.
-    3. ``row_number`` within a bucket, plus that offset, is the id.
-
-    The first two steps read nothing but the key of a stored table. The key
-    should be unique: equal keys are put in order by a hash of the row, and a
-    key with more than ``hot_rows`` rows is split into slices by that hash.
+    """Add ``start .. start+n-1`` in the order of a non-null row key of any type that sorts.
+
+    1. All executors sort the rows by key and, for equal keys, by a hash of the
+       row, so a key of very many rows is spread over several tasks and the
+       order does not depend on how the rows are partitioned. The sorted rows
+       are written once to the shared folder with their place in their
+       partition; whatever ``df`` is derived from is not computed again.
+    2. Rows per partition are counted (one row each) and summed up to the first
+       id of each partition, which is added to the place.
+
+    Without a key, rows keep the order of the files they come from, by file name
+    and position; ``df`` is then a plain scan. ``n_rows`` keeps the first ids
+    only. A NULL key is an error, as its place would mean nothing.
     """
-    kind = df.schema[key].dataType
-    if not isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType)):
-        raise TypeError(f"row key {key!r} must be an integer or float column, not {kind}")
     spark = df.sparkSession
-    if buckets is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * partitions)
-
-    splits, single_key = _splits(df, key, buckets)
-    bucketizer = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="error")
-    placed = bucketizer.transform(df.withColumn(_KEY, F.col(key).cast("double")))
-    placed = placed.withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
-
-    sizes = {(bucket, 0): n for (bucket,), n in _sizes(placed, _BUCKET).items()}
-    if (None, 0) in sizes:
-        raise ValueError(f"row key {key!r} is NULL in {sizes[None, 0]} rows")
-    hot = [b for b, _ in sizes if b in single_key and sizes[b, 0] > hot_rows]
-    slice_of = F.lit(0)
-    if hot:
-        slice_of = F.pmod(tie, F.lit(SLICES_OF_A_HOT_KEY)).cast("int")
-        slices = placed.where(F.col(_BUCKET).isin(hot)).withColumn(_SLICE, slice_of)
-        sizes = {k: n for k, n in sizes.items() if k[0] not in hot}
-        sizes |= _sizes(slices, _BUCKET, _SLICE)
-        slice_of = F.when(F.col(_BUCKET).isin(hot), slice_of).otherwise(0)
-
-    places = sorted(sizes)
-    firsts = accumulate((sizes[place] for place in places), initial=start)
-    offsets = spark.createDataFrame(
-        [(*place, first) for place, first in zip(places, firsts)],
-        f"{_BUCKET} int, {_SLICE} int, {_OFFSET} long",
-    )
-    in_place = Window.partitionBy(_BUCKET, _SLICE).orderBy(key, _TIE)
-    numbered = (
-        placed.withColumns({_SLICE: slice_of, _TIE: tie})
-        .withColumn(id_col, F.row_number().over(in_place))
-        .join(F.broadcast(offsets), [_BUCKET, _SLICE], "left")
-        .withColumn(id_col, F.col(_OFFSET) + F.col(id_col) - 1)
+    order: list[Column]
+    if key is None:
+        placed = df.withColumns({_KEY: F.input_file_name(), _TIE: F.monotonically_increasing_id()})
+    else:
+        placed = df.withColumns({_KEY: F.col(key), _TIE: F.xxhash64(*[F.col(c) for c in df.columns])})
+    order = [F.col(_KEY), F.col(_TIE)]
+    ordered = placed.orderBy(*order)
+    if n_rows is not None:
+        ordered = ordered.limit(n_rows)
+    ordered = ordered.withColumn(_PLACE, F.monotonically_increasing_id())
+    staged_path = scratch_path(spark, "ordered")
+    ordered.withColumn(_TIE, F.col(_KEY).isNull()).drop(_KEY).write.parquet(staged_path)
+    staged = spark.read.parquet(staged_path).withColumn(_PART, F.shiftright(_PLACE, 33).cast("int"))
+    counted = staged.groupBy(_PART).agg(F.count("*").alias("n"), F.count_if(_TIE).alias("nulls")).collect()
+    nulls = sum(r["nulls"] for r in counted)
+    if nulls:
+        raise ValueError(f"row key {key!r} is NULL in {nulls} rows")
+    parts = sorted((r[_PART], r["n"]) for r in counted)
+    firsts = accumulate((n for _, n in parts), initial=start)
+    bases = spark.createDataFrame(
+        [(part, first - (part << 33)) for (part, _), first in zip(parts, firsts)],
+        f"{_PART} int, {_BASE} long",
     )
-    return numbered.select(id_col, *[c for c in df.columns if c != id_col])
+    numbered = staged.join(F.broadcast(bases), _PART).withColumn(_PLACE, F.col(_PLACE) + F.col(_BASE))
+    return numbered.select(F.col(_PLACE).alias(id_col), *[F.col(f"`{c}`") for c in df.columns if c != id_col])

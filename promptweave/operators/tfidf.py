@@ -15,7 +15,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptweave.functions.constants import ENGLISH_STOP_WORDS
@@ -33,9 +33,11 @@ class Term:
     df: int
 
 
-def counted_terms(df: DataFrame, terms: str) -> DataFrame:
+def counted_terms(df: DataFrame, terms: str, first_words: DataFrame | None = None) -> DataFrame:
     """``(term, tf, df)`` of an SQL array expression, with one shuffle on the term.
 
+    ``first_words (word)`` keeps the terms that start with one of these words.
+
     Sorting a row's terms marks the last of each run of equals, so occurrences
     and rows holding the term come out of the same exploded rows: no row id and
     no distinct. Both sums are combined before the shuffle, so a term of any
@@ -46,45 +48,26 @@ def counted_terms(df: DataFrame, terms: str) -> DataFrame:
         "(a, b) -> named_struct('term', a, 'last', NOT a <=> b)))[0]"
     )
     # explode_outer, as the size check that explode adds would copy the tokeniser.
-    exploded = df.select(F.explode_outer(F.expr(marked)).alias("t"))
+    exploded = df.select(F.explode_outer(F.expr(marked)).alias("t")).where("t IS NOT NULL")
+    if first_words is not None:
+        starts = F.substring_index("t.term", " ", 1) == F.col("word")
+        exploded = exploded.join(first_words, starts, "left_semi")
     return (
-        exploded.where("t IS NOT NULL")
-        .groupBy("t.term")
+        exploded.groupBy("t.term")
         .agg(F.count("*").alias("tf"), F.count_if("t.last").alias("df"))
     )
 
 
-def _candidates_sql(words: str, frequent: Iterable[str]) -> str:
-    """Of the words and bigrams of a text, those made of listed words only."""
-    listed = ", ".join(sql_text(w) for w in frequent)
-    return (
-        f"transform(array({words}), ws -> concat(filter(ws, w -> w IN ({listed})), "
-        f"array_compact(zip_with(ws, slice(ws, 2, size(ws)), (a, b) -> "
-        f"CASE WHEN a IN ({listed}) AND b IN ({listed}) THEN a || ' ' || b END))))[0]"
-    )
-
-
-def _frequent_words(
-    df: DataFrame, words: str, max_features: int
-) -> tuple[int, list[str] | None]:
-    """Number of rows, and the words as frequent as the last that would make the cut alone.
+def _top_words(df: DataFrame, words: str, max_features: int) -> tuple[int, list[str]]:
+    """Number of rows, and the ``max_features`` most frequent words.
 
-    Every row also holds one empty word, whose count is the number of rows. The
-    list is None where ties at the floor make it longer than four times the cut.
+    Every row also holds one empty word, whose count is the number of rows.
     """
     exploded = df.select(F.explode_outer(F.expr(f"concat(array(''), {words})")).alias("word"))
     counts = exploded.groupBy("word").agg(F.count("*").alias("tf"))
-    limit = 4 * max_features
     order = (F.col("word") != "", F.desc("tf"), F.col("word"))
-    top = [(r["word"], r["tf"]) for r in counts.orderBy(*order).limit(limit + 2).collect()]
-    if not top:
-        return 0, []
-    (_, rows), *ranked = top
-    if len(ranked) < max_features:
-        return rows, [w for w, _ in ranked]
-    floor = ranked[max_features - 1][1]
-    frequent = [w for w, n in ranked if n >= floor]
-    return rows, frequent if len(frequent) <= limit else None
+    top = [(r["word"], r["tf"]) for r in counts.orderBy(*order).limit(max_features + 1).collect()]
+    return (top[0][1], [w for w, _ in top[1:]]) if top else (0, [])
 
 
 def fit_tfidf(
@@ -97,22 +80,20 @@ def fit_tfidf(
     """Choose the ``max_features`` most frequent terms and weigh them.
 
     Bigrams outnumber words by orders of magnitude, so words are counted first.
-    Let ``floor`` be the count of the last word that would make the cut alone:
-    whatever the final cut is, its terms occur at least ``floor`` times, and a
-    bigram is never more frequent than either of its words. So the second pass
-    counts only words that reach ``floor`` and pairs of such words, which loses
-    nothing. Where ties at ``floor`` make that list long, as in a tiny corpus,
-    it counts all terms.
+    A bigram is never more frequent than its first word and sorts after it, so
+    one that makes the cut starts with one of the ``max_features`` first words.
+    The second pass counts only terms that do, which loses nothing. That list
+    and the vocabulary, of ``max_features`` rows, are what reaches the driver.
 
     Ties in the cut go to the alphabetically first term.
     """
     stop = tuple(stop_words)
     words = content_words_sql(text_col, stop)
-    n_docs, frequent = _frequent_words(df, words, max_features)
-    if frequent is not None and not frequent:
+    n_docs, frequent = _top_words(df, words, max_features)
+    if not frequent:
         raise ValueError("no terms to fit: the texts hold only stop words or nothing")
-    terms = terms_sql(text_col, stop) if frequent is None else _candidates_sql(words, frequent)
-    top = counted_terms(df, terms).orderBy(F.desc("tf"), "term").limit(max_features).collect()
+    first_words = df.sparkSession.createDataFrame([(w,) for w in frequent], "word string")
+    top = counted_terms(df, terms_sql(text_col, stop), first_words).orderBy(F.desc("tf"), "term").limit(max_features).collect()
     chosen = sorted((Term(r["term"], r["tf"], r["df"]) for r in top), key=lambda t: t.term)
     return TfidfModel.build(df.sparkSession, chosen, n_docs, text_col, out, stop)
 
@@ -172,9 +153,8 @@ class TfidfModel:
         cells = self.n_docs * len(self.vocabulary)
         return 1.0 - sum(t.df for t in self.vocabulary) / cells
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         """Pipeline for any Spark program, vocabulary as Parquet."""
-        spark = SparkSession.getActiveSession()
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         table = self.vocabulary_table(spark).withColumns(
             {"n_docs": F.lit(self.n_docs).cast("long"), "out": F.lit(self.out)}
@@ -194,20 +174,25 @@ def smooth_idf(n_docs: int, df: int) -> float:
     return math.log((1 + n_docs) / (1 + df)) + 1.0
 
 
+def stored_cells(vector_col: str) -> Column:
+    """The cells a vector stores, as ``(idx, weight)``; a sparse one does not store its zeros."""
+    vector = F.unwrap_udt(vector_col)
+    values = vector["values"]
+    every = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1))
+    places = F.coalesce(vector["indices"], every)
+    return F.zip_with(places, values, lambda i, w: F.struct(i.alias("idx"), w.alias("weight")))
+
+
 def long_form(df: DataFrame, model: TfidfModel, id_col: str) -> DataFrame:
     """Non-zero cells as ``(id, term, weight)``; the term lookup is the vocabulary."""
-    cells = df.select(id_col, F.posexplode(vector_to_array(model.out)).alias("idx", "weight"))
+    cells = df.select(id_col, F.inline(stored_cells(model.out)))
     names = model.vocabulary_table(df.sparkSession).select("idx", "term")
-    return (
-        cells.where("weight != 0")
-        .join(F.broadcast(names), "idx")
-        .select(id_col, "term", "weight")
-    )
+    return cells.where("weight != 0").join(names, "idx").select(id_col, "term", "weight")
 
 
 def sparsity(df: DataFrame, vector_col: str, width: int) -> DataFrame:
     """Share of zero cells in any scored table, as one row."""
-    nonzero = F.size(F.filter(vector_to_array(vector_col), lambda w: w != 0))
+    nonzero = F.size(F.filter(F.unwrap_udt(vector_col)["values"], lambda w: w != 0))
     rows = df.agg(F.count("*").alias("rows"), F.sum(nonzero).alias("nonzero"))
     cells = F.nullif(F.col("rows") * F.lit(width), F.lit(0))
     return rows.withColumn("sparsity", F.lit(1.0) - F.col("nonzero") / cells)

@@ -6,12 +6,13 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptweave.config import LabelRules
 from promptweave.functions.conversation import first_message
 from promptweave.operators.features import assemble, with_text_features
 from promptweave.operators.labeling import labeled_prompts
-from promptweave.operators.partitioning import spread_small
+from promptweave.operators.partitioning import spread
 from promptweave.operators.tfidf import TfidfModel, fit_tfidf, widen
 from promptweave.schemas import require_columns
 from promptweave.sources import prompt_table, readers, writers
@@ -24,10 +25,19 @@ def collect_prompts(battles: DataFrame, conversation_col: str = "conversation_a"
 
 
 def collect_job(
-    spark: SparkSession, snapshot: str, out: str, split: str | None = None, as_csv: bool = False
+    spark: SparkSession,
+    snapshot: str,
+    out: str,
+    split: str | None = None,
+    as_csv: bool = False,
+    key: str | None = "battle_id",
 ) -> None:
-    """Snapshot to raw battles. Parquet keeps the nesting and stays splittable."""
-    collected = collect_prompts(readers.read_battles(spark, snapshot, split=split))
+    """Snapshot to raw battles with all its columns. Parquet keeps the nesting and stays splittable.
+
+    ``key`` names the column that the later jobs take as row key; None asks for none.
+    """
+    battles = readers.read_battles(spark, snapshot, split=split)
+    collected = collect_prompts(require_columns(battles, [key] if key else [], snapshot))
     (writers.write_csv if as_csv else writers.write_parquet)(collected, out)
 
 
@@ -39,19 +49,24 @@ def label_job(
     key: str = "battle_id",
     as_csv: bool = False,
     na_words: Iterable[str] = (),
+    key_type: T.DataType = T.LongType(),
 ) -> DataFrame:
-    """Raw battles to labelled prompts; returns the table written, keyed for what follows."""
+    """Raw battles to labelled prompts; returns the table written, keyed for what follows.
+
+    ``key_type`` is the type of the key where a CSV leaves it open.
+    """
     if as_csv:
-        battles = readers.read_raw_battles_csv(spark, raw, rules, keep=(key,), na_words=na_words)
+        same = {"keep": (key,), "na_words": na_words, "key_type": key_type}
+        battles = readers.read_raw_battles_csv(spark, raw, rules, **same)
         writers.write_csv(labeled_prompts(battles, rules, keep=(key,)), out)
-        return readers.read_labeled_csv(spark, out, keep=(key,), na_words=na_words)
+        return readers.read_labeled_csv(spark, out, **same)
     battles = readers.read_battles(spark, raw, schema=None)
     writers.write_parquet(labeled_prompts(battles, rules, keep=(key,)), out)
     return spark.read.parquet(out)
 
 
 def store_job(
-    labeled: DataFrame, key: str = "battle_id", table: str = prompt_table.PROMPT_TABLE
+    labeled: DataFrame, key: str | None = "battle_id", table: str = prompt_table.PROMPT_TABLE
 ) -> DataFrame:
     """Labelled prompts to the stored table; returns its summary per tier."""
     prompt_table.save_prompts(labeled, key, table)
@@ -59,7 +74,7 @@ def store_job(
 
 
 def document_job(
-    labeled: DataFrame, path: str, tier: str, key: str = "battle_id", n_docs: int = 100
+    labeled: DataFrame, path: str, tier: str, key: str | None = "battle_id", n_docs: int | None = 100
 ) -> DataFrame:
     """Export the first prompts as JSON documents and find those of one tier."""
     writers.export_documents(labeled, path, key, n_docs)
@@ -82,9 +97,9 @@ def feature_job(
 
     The CSV form has one column per term and neither id nor prompt.
     """
-    prompts = spread_small(prompt_table.read_prompts(spark, table))
+    prompts = spread(prompt_table.read_prompts(spark, table))
     model = fit_tfidf(prompts)
-    model.save(model_path)
+    model.save(spark, model_path)
     features = featurise(prompts, model)
     if as_csv:
         wide = widen(features.drop("id"), model)

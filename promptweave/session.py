@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,8 +27,8 @@ def local_session(app: str, cores: int | str = "*", **conf: str) -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors share one disk, may fall
-    back to a temporary folder.
+    Only a session in one process, where there are no other machines, may fall
+    back to a temporary folder; scratch data stay until the folder is removed.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -37,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="promptweave-")
     spark.sparkContext.setCheckpointDir(folder)

@@ -12,19 +12,17 @@ PROMPT_TABLE = "historical_prompts"
 
 def save_prompts(
     labeled: DataFrame,
-    key: str,
+    key: str | None,
     table: str = PROMPT_TABLE,
     mode: str = "overwrite",
     path: str | None = None,
 ) -> int:
     """Store ``(id, user_prompt, Target_Tier)`` and return the number of rows loaded.
 
-    Ids are dense in the order of ``key``. An append goes on after the largest
-    stored id, so ids stay unique. The table is partitioned by tier, which lets
-    a fetch of one tier skip the files of the others.
-
-    Give it a stored table: the passes that place the ids then read nothing but
-    the key, while a derived input is computed anew by each of them.
+    Ids are dense in the order of ``key``, of the files read if it is None. An
+    append goes on after the largest stored id, so ids stay unique. The table
+    is partitioned by tier, which lets a fetch of one tier skip the files of
+    the others. The input may be derived: it is computed once.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode must be 'overwrite' or 'append', not {mode!r}")
@@ -33,7 +31,8 @@ def save_prompts(
     if mode == "append" and spark.catalog.tableExists(table):
         largest = spark.table(table).agg(F.max("id")).first()[0]
         start = 0 if largest is None else largest + 1
-    rows = with_dense_id(labeled.select(key, "user_prompt", "Target_Tier"), key, "__id", start)
+    columns = dict.fromkeys([*([key] if key else []), "user_prompt", "Target_Tier"])
+    rows = with_dense_id(labeled.select(*columns), key, "__id", start)
     writer = (
         rows.select(F.col("__id").alias("id"), "user_prompt", "Target_Tier")
         .write.mode(mode)
@@ -48,6 +47,8 @@ def save_prompts(
 
 def read_prompts(spark: SparkSession, table: str = PROMPT_TABLE) -> DataFrame:
     """Every stored row, those without a prompt included."""
+    if not spark.catalog.tableExists(table):
+        raise FileNotFoundError(f"table {table} does not exist: run the store job first")
     return spark.table(table).select("id", "user_prompt", "Target_Tier")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptweave.config import LabelRules
-from promptweave.schemas import BATTLES, LABELED, PROMPT_DOCUMENTS, require_columns
+from promptweave.schemas import LABELED, PROMPT_DOCUMENTS, require_columns
 
 
 def _load(reader: DataFrameReader, path: str, hint: str) -> DataFrame:
@@ -28,11 +28,11 @@ def read_battles(
     path: str,
     fmt: str = "parquet",
     split: str | None = None,
-    schema: T.StructType | None = BATTLES,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """A landed snapshot of model comparisons; ``split`` picks rows of one named split.
+    """A landed snapshot of model comparisons with all its columns; ``split`` picks one named split.
 
-    ``schema=None`` takes the columns a Parquet snapshot declares.
+    Give a ``schema`` where the format declares none, such as ``BATTLES`` for JSON.
     """
     reader = spark.read.format(fmt)
     if schema is not None:
@@ -40,7 +40,9 @@ def read_battles(
             schema = T.StructType([*schema.fields, T.StructField("split", T.StringType())])
         reader = reader.schema(schema)
     battles = _load(reader, path, "land a snapshot of the dataset first")
-    return battles if split is None else battles.where(F.col("split") == split)
+    if split is None:
+        return battles
+    return require_columns(battles, ["split"], path).where(F.col("split") == split)
 
 
 def _csv_reader(spark: SparkSession) -> DataFrameReader:
@@ -90,9 +92,10 @@ def read_raw_battles_csv(
     rules: LabelRules = LabelRules(),
     keep: tuple[str, ...] = (),
     na_words: Iterable[str] = (),
+    key_type: T.DataType = T.LongType(),
 ) -> DataFrame:
     """The columns labelling needs, plus row keys named in ``keep``, from a collected CSV."""
-    fields = [T.StructField(c, T.LongType()) for c in keep]
+    fields = [T.StructField(c, key_type) for c in keep]
     fields += [T.StructField(c, T.StringType()) for c in rules.input_columns]
     return read_csv(
         spark, path, T.StructType(fields), na_words=na_words, hint="run the collection job first"
@@ -100,9 +103,13 @@ def read_raw_battles_csv(
 
 
 def read_labeled_csv(
-    spark: SparkSession, path: str, keep: tuple[str, ...] = (), na_words: Iterable[str] = ()
+    spark: SparkSession,
+    path: str,
+    keep: tuple[str, ...] = (),
+    na_words: Iterable[str] = (),
+    key_type: T.DataType = T.LongType(),
 ) -> DataFrame:
-    fields = [T.StructField(c, T.LongType()) for c in keep] + list(LABELED.fields)
+    fields = [T.StructField(c, key_type) for c in keep] + list(LABELED.fields)
     return read_csv(
         spark, path, T.StructType(fields), na_words=na_words, hint="run the labelling job first"
     )

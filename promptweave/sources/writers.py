@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptweave.operators.row_ids import with_dense_id
 
-ROWS_PER_CSV_FILE = 1_000_000
-SMALL_EXPORT = 10_000
+CSV_FILE_BYTES = 128 << 20
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -24,23 +23,38 @@ def _flat(df: DataFrame) -> DataFrame:
     )
 
 
+def _rows_for(flat: DataFrame, file_bytes: int) -> int:
+    """Rows of mean size that make up a file of ``file_bytes``."""
+    mean = flat.agg(F.avg(F.octet_length(F.to_csv(F.struct("*"))))).first()[0]
+    return max(1, int(file_bytes / mean)) if mean else 1
+
+
 def write_csv(
-    df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = ROWS_PER_CSV_FILE
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    file_bytes: int = CSV_FILE_BYTES,
+    rows_per_file: int | None = None,
 ) -> None:
-    """CSV with header, doubled quotes and untouched spaces, in files of bounded size."""
+    """CSV with header, doubled quotes and untouched spaces, in files of about ``file_bytes`` at most.
+
+    The writer splits by rows, so their mean size is taken first, in a pass over
+    ``df``; give ``rows_per_file`` to save that pass.
+    """
     vectors = [f.name for f in df.schema if isinstance(f.dataType, VectorUDT)]
     if vectors:
         raise ValueError(f"vector columns {vectors} do not fit CSV; widen them first")
+    flat = _flat(df)
+    rows = rows_per_file or _rows_for(flat, file_bytes)
     (
-        _flat(df)
-        .write.mode(mode)
+        flat.write.mode(mode)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("encoding", "UTF-8")
-        .option("maxRecordsPerFile", rows_per_file)
+        .option("maxRecordsPerFile", rows)
         .csv(path)
     )
 
@@ -49,22 +63,18 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def first_documents(df: DataFrame, key: str, n_docs: int = 100) -> DataFrame:
+def first_documents(df: DataFrame, key: str | None, n_docs: int | None = 100) -> DataFrame:
     """First rows by key with a dense ``doc_id`` from 0, other columns as they are.
 
-    A small export is a top-n, numbered in one task of at most ``SMALL_EXPORT``
-    rows. A larger one is numbered where the rows are.
+    ``n_docs=None`` numbers every row. Rows of equal keys are ordered by a hash,
+    a NULL key is an error, whatever ``n_docs`` is.
     """
-    payload = [c for c in df.columns if c not in (key, "doc_id")]
-    if n_docs <= SMALL_EXPORT:
-        first = df.orderBy(key).limit(n_docs)
-        numbered = first.withColumn("doc_id", F.row_number().over(Window.orderBy(key)) - 1)
-    else:
-        numbered = with_dense_id(df, key, "doc_id").where(F.col("doc_id") < n_docs)
-    return numbered.select(F.col("doc_id").cast("long"), *payload)
+    numbered = with_dense_id(df, key, "__doc_id", n_rows=n_docs)
+    payload = [F.col(f"`{c}`") for c in df.columns if c not in (key, "doc_id")]
+    return numbered.select(F.col("__doc_id").alias("doc_id"), *payload)
 
 
-def export_documents(df: DataFrame, path: str, key: str, n_docs: int = 100) -> int:
-    """Write the first documents as JSON lines; returns how many were written."""
+def export_documents(df: DataFrame, path: str, key: str | None, n_docs: int | None = 100) -> int:
+    """Write the first documents, or all with ``n_docs=None``, as JSON lines; returns how many."""
     first_documents(df, key, n_docs).write.mode("overwrite").json(path)
     return df.sparkSession.read.schema("doc_id long").json(path).count()

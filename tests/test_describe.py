@@ -60,3 +60,14 @@ def test_rounds_half_to_even(spark):
     df = spark.createDataFrame([(2.125,)], "x double")
     row = describe(df, ["x"], materialise=False).first()
     assert (row["min"], row["std"]) == (2.12, None)
+
+
+def test_infinities_and_full_range(spark):
+    inf = float("inf")
+    top = 1.7e308
+    rows = [(inf, -top), (-inf, top), (1.0, 0.0), (2.0, 5.0), (inf, -1.0)]
+    x, y = describe(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], None).collect()
+    assert (x["min"], x["p25"], x["p50"], x["p75"], x["max"]) == (-inf, 1.0, 2.0, inf, inf)
+    assert (y["min"], y["p25"], y["p50"], y["p75"], y["max"]) == (-top, -1.0, 0.0, 5.0, top)
+    (z,) = describe(spark.createDataFrame([(inf,), (inf,)], "z double"), ["z"], None).collect()
+    assert (z["p25"], z["p75"]) == (inf, inf)

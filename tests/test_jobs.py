@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from promptweave.config import LabelRules, Tier
+from promptweave.functions.conversation import first_messages
 
 from promptweave.functions.text import TEXT_FEATURES
 from promptweave.operators.tfidf import TfidfModel
@@ -70,6 +74,36 @@ def test_all_jobs(spark, snapshot, tmp_path, as_csv):
     spark.sql(f"DROP TABLE {TABLE}")
 
 
+@pytest.mark.parametrize("as_csv", [False, True])
+def test_own_rules_reach_the_table(spark, tmp_path, as_csv):
+    rules = LabelRules(tiers=(Tier("T", ("m",)),), prompt_col="question")
+    rows = [("q2", "b", "m", "x", "model_a"), ("q1", " a ", "x", "m", "model_b"), ("q3", "c", "x", "m", "model_a")]
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    df = spark.createDataFrame(rows, "question_id string, question string, model_a string, model_b string, winner string")
+    (jobs.writers.write_csv if as_csv else jobs.writers.write_parquet)(df, raw)
+    labeled = jobs.label_job(spark, raw, out, rules, key="question_id", as_csv=as_csv, key_type=T.StringType())
+    jobs.store_job(labeled, "question_id", TABLE)
+    stored = prompt_table.fetch_prompts(spark, table=TABLE).collect()
+    assert [tuple(r) for r in stored] == [(0, "a", "T"), (1, "b", "T")]
+    jobs.store_job(labeled.drop("question_id"), None, TABLE)
+    assert sorted(r["id"] for r in prompt_table.read_prompts(spark, TABLE).collect()) == [0, 1]
+    spark.sql(f"DROP TABLE {TABLE}")
+
+
+def test_collection_needs_its_key(spark, snapshot, tmp_path):
+    with pytest.raises(ValueError, match="question_id"):
+        jobs.collect_job(spark, snapshot, str(tmp_path / "raw"), key="question_id")
+    jobs.collect_job(spark, snapshot, str(tmp_path / "raw"), key=None)
+    assert "split" in spark.read.parquet(str(tmp_path / "raw")).columns
+
+
+def test_equal_turns_have_one_answer(spark):
+    rows = [(1, 0, "b"), (1, 0, "a"), (1, 1, "c"), (2, 3, "x"), (2, 3, None), (3, None, "n"), (3, 0, "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    found = {r["conv_id"]: r["user_prompt"] for r in first_messages(df.repartition(4)).collect()}
+    assert found[1] == "a" and found[2] == ""
+
+
 def test_report_of_nothing(spark):
     empty = spark.createDataFrame([], "Target_Tier string")
     rows = {r["metric"]: r["value"] for r in feature_report(empty, 3).collect()}

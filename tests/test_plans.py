@@ -8,7 +8,7 @@ import pytest
 
 from promptweave.operators import labeling, summaries, tfidf
 from promptweave.operators.features import with_text_features
-from promptweave.operators.partitioning import spread_small
+from promptweave.operators.partitioning import INPUT_TASKS, spread
 from promptweave.operators.row_ids import with_dense_id
 from promptweave.sources import prompt_table
 from promptweave.functions.constants import ENGLISH_STOP_WORDS
@@ -60,8 +60,8 @@ def test_the_only_global_window_is_above_the_grouping(stored_battles):
 def test_ids_have_no_global_window(spark):
     lines = read_table(spark, SMALL, "lineitem").select("l_orderkey", "l_linenumber")
     plan = plan_of(with_dense_id(lines, "l_orderkey"))
-    assert "SinglePartition" not in plan
-    assert "hashpartitioning(__bucket" in plan
+    assert "SinglePartition" not in plan and "Window" not in plan
+    assert "BroadcastHashJoin" in plan
 
 
 def test_fetch_of_a_tier_prunes_the_others(spark, battles):
@@ -85,7 +85,6 @@ def test_texts_are_tokenised_once_per_row(spark):
     for terms in (
         content_words_sql("text", ENGLISH_STOP_WORDS),
         terms_sql("text", ENGLISH_STOP_WORDS),
-        tfidf._candidates_sql(content_words_sql("text", ENGLISH_STOP_WORDS), ["aa", "bb"]),
     ):
         plan = plan_of(tfidf.counted_terms(docs, terms))
         assert plan.count("regexp_extract_all") == 1
@@ -105,8 +104,15 @@ def test_shared_parts_are_computed_once(spark):
     assert plan.count("split(trim(") == 1
 
 
-def test_only_small_inputs_are_spread(spark, monkeypatch):
+def test_inputs_are_spread_on_request_only(spark):
     docs = read_table(spark, SMALL, "documents").select("doc_id", "text")
-    assert "RoundRobinPartitioning(16)" in plan_of(spread_small(docs))
-    monkeypatch.setattr("promptweave.operators.partitioning.SMALL_PER_CORE", 10)
-    assert "Exchange" not in plan_of(spread_small(docs))
+    assert "Exchange" not in plan_of(spread(docs))
+    assert "RoundRobinPartitioning(16)" in plan_of(spread(docs, 16))
+    spark.conf.set(INPUT_TASKS, "12")
+    assert "RoundRobinPartitioning(12)" in plan_of(spread(docs))
+    spark.conf.unset(INPUT_TASKS)
+
+
+def test_vectors_are_not_made_dense(spark):
+    for name in ("tfidf_long", "tfidf_sparsity", "feature_matrix"):
+        assert "vector_to_array" not in plan_of(QUERIES[name](spark, SMALL))

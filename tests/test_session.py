@@ -41,9 +41,10 @@ def test_folder_already_set_is_kept():
     assert shared_folder(Session("yarn", "hdfs://set/before")) == "hdfs://set/before"
 
 
-def test_a_cluster_gets_no_local_folder():
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[3,2,1024]", "yarn"])
+def test_a_cluster_gets_no_local_folder(master):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_folder(Session("spark://host:7077"))
+        shared_folder(Session(master))
 
 
 def test_a_local_session_gets_one():

@@ -100,6 +100,36 @@ def test_split_of_a_snapshot(spark, tmp_path):
     assert sorted(r["battle_id"] for r in train.collect()) == [1, 3]
 
 
+def test_csv_files_are_bounded_by_bytes(spark, tmp_path):
+    path = tmp_path / "csv"
+    df = spark.range(1000).selectExpr("id", "repeat('x', 1000) AS t").coalesce(1)
+    writers.write_csv(df, str(path), file_bytes=100_000)
+    sizes = [f.stat().st_size for f in path.glob("*.csv")]
+    assert 10 <= len(sizes) <= 12 and max(sizes) < 120_000
+
+
+def test_a_missing_table_names_the_job_to_run(spark):
+    with pytest.raises(FileNotFoundError, match="store job"):
+        prompt_table.read_prompts(spark, "no_such_table")
+
+
+def test_a_missing_split_is_named(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="split"):
+        readers.read_battles(spark, str(tmp_path / "s"), split="train")
+
+
+@pytest.mark.parametrize("n_docs", [3, 10_000, 10_001, None])
+def test_documents_of_any_number_follow_one_rule(spark, n_docs):
+    rows = [("b", "x"), ("a", "y"), ("b", "z"), ("", "v")]
+    df = spark.createDataFrame(rows, "k string, user_prompt string")
+    found = writers.first_documents(df, "k", n_docs).orderBy("doc_id").collect()
+    whole = writers.first_documents(df, "k", None).orderBy("doc_id").collect()
+    assert found == whole[: n_docs or 4] and [r["doc_id"] for r in whole] == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="NULL in 1 rows"):
+        writers.first_documents(df.union(spark.createDataFrame([(None, "n")], df.schema)), "k", n_docs)
+
+
 def test_documents(spark, tmp_path):
     path = str(tmp_path / "docs")
     rows = [(10 * i, f"prompt é {i}", "A" if i % 3 else "B") for i in range(30)]
@@ -110,7 +140,7 @@ def test_documents(spark, tmp_path):
     found = readers.find_documents(spark, path, "B").collect()
     assert sorted(d["doc_id"] for d in found) == [0, 3, 6]
     assert writers.export_documents(df, path, "key", n_docs=100) == 30
-    assert writers.export_documents(df, path, "key", n_docs=1_000_000) == 30
+    assert writers.export_documents(df, path, "key", n_docs=None) == 30
     large = readers.read_documents(spark, path).orderBy("doc_id").collect()
     assert [d["user_prompt"] for d in large] == [r[1] for r in rows]
 

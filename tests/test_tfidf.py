@@ -80,15 +80,24 @@ def test_a_bigram_wins_a_tie_against_a_word(spark):
     assert model.terms == ["alpha", "alpha beta", "beta"]
 
 
-def test_only_terms_of_frequent_words_are_counted(spark, monkeypatch):
+def test_only_terms_that_start_with_top_words_are_counted(spark, monkeypatch):
     texts = corpus(150, 60)
     seen = []
-    real = tfidf._candidates_sql
-    monkeypatch.setattr(tfidf, "_candidates_sql", lambda w, f: seen.append(f) or real(w, f))
+    real = tfidf.counted_terms
+    monkeypatch.setattr(tfidf, "counted_terms", lambda d, t, f: seen.append(f) or real(d, t, f))
     fit_tfidf(frame(spark, texts), max_features=10)
     counts = Counter(w for t in texts for w in terms_of(t) if " " not in w)
-    floor = counts.most_common(10)[-1][1]
-    assert sorted(seen[0]) == sorted(w for w, n in counts.items() if n >= floor)
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:10]
+    assert sorted(r["word"] for r in seen[0].collect()) == sorted(top)
+
+
+def test_cells_of_dense_and_empty_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(0, Vectors.dense([0.0, 2.0])), (1, Vectors.sparse(3, {2: 4.0})), (2, Vectors.sparse(3, {}))]
+    df = spark.createDataFrame(rows, ["id", "v"])
+    cells = df.select("id", F.inline(tfidf.stored_cells("v"))).where("weight != 0").collect()
+    assert sorted(tuple(r) for r in cells) == [(0, 1, 2.0), (1, 2, 4.0)]
 
 
 def test_vectors_have_norm_one_or_zero(spark):
@@ -116,8 +125,8 @@ def test_saved_model_scores_alike(spark, tmp_path):
     df = frame(spark, corpus(80, 30))
     model = fit_tfidf(df, max_features=25)
     path = str(tmp_path / "model")
-    model.save(path)
-    model.save(path)
+    model.save(spark, path)
+    model.save(spark, path)
     loaded = TfidfModel.load(spark, path)
     assert loaded.vocabulary == model.vocabulary
     assert loaded.n_docs == model.n_docs

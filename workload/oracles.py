@@ -197,6 +197,28 @@ ORACLES: dict[str, str] = {
         SELECT doc_id AS battle_id,
                CASE WHEN doc_id % 10 IN (3, 4) THEN '' ELSE coalesce(text, '') END AS user_prompt
         FROM documents""",
+    "collect_job_columns": f"""
+        WITH {BATTLES}
+        SELECT b.battle_id, 'q' || battle_id AS question_id, lang AS language, 'train' AS split,
+               model_a, model_b, winner,
+               CASE battle_id % 10 WHEN 3 THEN 0 WHEN 4 THEN -1 ELSE 2 END::BIGINT AS conversation_a,
+               CASE WHEN battle_id % 10 IN (3, 4) THEN '' ELSE coalesce(text, '') END AS user_prompt
+        FROM battles b JOIN documents d ON b.battle_id = d.doc_id WHERE battle_id % 5 <> 0""",
+    "collect_job_csv": """
+        SELECT 'q' || doc_id AS question_id, lang AS language, 'train' AS split,
+               CASE WHEN doc_id % 10 IN (3, 4) THEN NULL ELSE nullif(text, '') END AS user_prompt,
+               CASE WHEN doc_id % 10 IN (3, 4) THEN NULL ELSE text END AS opening,
+               CASE WHEN doc_id % 10 IN (3, 4) THEN NULL ELSE 'assistant' END AS second_role
+        FROM documents WHERE doc_id % 5 <> 0""",
+    "custom_rules": f"""
+        WITH {BATTLES},
+        kept AS (
+            SELECT battle_id, trim(user_prompt, {WS}) AS user_prompt, trim(model_a, {WS}) AS won
+            FROM battles WHERE winner = 'model_a' AND trim(user_prompt, {WS}) <> ''
+        )
+        SELECT row_number() OVER (ORDER BY battle_id) - 1 AS id, user_prompt,
+               CASE WHEN won = 'gpt-4' THEN 'Large' ELSE 'Small' END AS "Target_Tier"
+        FROM kept WHERE won IN ('koala-13b', 'llama-13b', 'gpt-4')""",
     "drop_null_prompt": f"WITH {BATTLES} SELECT * FROM battles WHERE user_prompt IS NOT NULL",
     "drop_blank_prompt": f"WITH {BATTLES} SELECT * FROM battles WHERE trim(user_prompt, {WS}) <> ''",
     "decisive_only": f"WITH {BATTLES} SELECT * FROM battles WHERE winner IN ('model_a', 'model_b')",
@@ -260,6 +282,10 @@ ORACLES: dict[str, str] = {
         WITH {LABELED}
         SELECT row_number() OVER (ORDER BY battle_id) - 1 AS id, battle_id, "Target_Tier"
         FROM labeled""",
+    "dense_id_text_key": """
+        SELECT row_number() OVER (ORDER BY source || '/' || doc_id) - 1 AS id,
+               source || '/' || doc_id AS k, length(text) AS chars
+        FROM documents""",
     "dense_id_lineitem": """
         SELECT l_orderkey, count(*) AS n, min(id) AS "first", max(id) AS "last"
         FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS id FROM lineitem)
@@ -297,6 +323,15 @@ ORACLES: dict[str, str] = {
         FROM battles""",
     "csv_pages": "SELECT page_id, url, html FROM pages",
     **{name: _feature_query("documents", "doc_id", "text", (name,)) for name in FEATURES},
+    "keyword_hits": f"""
+        WITH put AS (
+            SELECT doc_id, text, (list_value({_list(COMPLEX_KEYWORDS)}))[doc_id % {len(COMPLEX_KEYWORDS)} + 1] AS k
+            FROM documents
+        )
+        SELECT doc_id, len(list_filter(
+                   regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'),
+                   lambda w: w IN ({_list(COMPLEX_KEYWORDS)}))) + 3 AS hits
+        FROM put""",
     "common_word_count": """
         SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'),
             lambda w: w IN ('the', 'and', 'with', 'die', 'und', 'les', 'que', 'tion'))) AS hits
@@ -334,6 +369,13 @@ ORACLES: dict[str, str] = {
         WITH {DOC_VOCABULARY}
         SELECT 'tfidf_' || term AS feature, round(sum(weight), 4) AS total
         FROM cells GROUP BY term""",
+    "feature_csv": f"""
+        WITH {STORED}, {_features("stored", "id", "user_prompt")},
+        {_vocabulary("stored", "id", "user_prompt")},
+        sums AS (SELECT id, sum(weight) AS total FROM cells GROUP BY id)
+        SELECT prompt_length::BIGINT AS prompt_length, word_count::BIGINT AS word_count,
+               round(char_entropy, 6) AS char_entropy, round(coalesce(total, 0), 6) AS tfidf_sum, "Target_Tier"
+        FROM features f JOIN stored USING (id) LEFT JOIN sums USING (id)""",
     "feature_matrix": f"""
         WITH {STORED}, {_features("stored", "id", "user_prompt")},
         {_vocabulary("stored", "id", "user_prompt")},

@@ -10,15 +10,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from promptweave.config import TIER_COL, WINNING_MODEL_COL
+from promptweave.config import TIER_COL, WINNING_MODEL_COL, LabelRules, Tier
 from promptweave.functions import terms as term_functions
 from promptweave.functions import text as text_functions
+from promptweave.functions.constants import COMPLEX_KEYWORDS
 from promptweave.functions.conversation import first_messages
 from promptweave.operators import labeling, summaries, tfidf
 from promptweave.operators.describe import describe
 from promptweave.operators.features import with_text_features
-from promptweave.operators.partitioning import spread_small
+from promptweave.operators.partitioning import spread
 from promptweave.operators.row_ids import with_dense_id
 from promptweave.plans import jobs
 from promptweave.plans.reports import feature_report
@@ -36,7 +38,7 @@ def _six(c: str | Column) -> Column:
 
 
 def _texts(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
-    return spread_small(read_table(spark, sf_dir, table).select(*columns))
+    return spread(read_table(spark, sf_dir, table).select(*columns))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,21 +60,81 @@ def first_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collected_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested conversations, some of them empty or absent, through a landed snapshot."""
-    snapshot = scratch_path(spark, "snapshot")
+    collected = jobs.collect_prompts(readers.read_battles(spark, _snapshot(spark, sf_dir)))
+    return collected.select("battle_id", "user_prompt")
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> str:
+    """A snapshot of named splits with nested conversations and columns of its own; returns its path."""
+    path = scratch_path(spark, "snapshot")
     message = F.struct(F.col("text").alias("content"), F.lit("user").alias("role"))
     reply = F.struct(F.lit("reply").alias("content"), F.lit("assistant").alias("role"))
     no_message = F.array().cast("array<struct<content:string,role:string>>")
     nested = (
-        F.when(F.col("doc_id") % 10 == 3, no_message)
-        .when(F.col("doc_id") % 10 == 4, F.lit(None))
+        F.when(F.col("battle_id") % 10 == 3, no_message)
+        .when(F.col("battle_id") % 10 == 4, F.lit(None))
         .otherwise(F.array(message, reply))
     )
-    landed = battles(spark, sf_dir).join(_documents(spark, sf_dir), F.expr("battle_id = doc_id"))
-    landed.select("battle_id", "model_a", "model_b", "winner", nested.alias("conversation_a")).write.parquet(
-        snapshot
+    battles(spark, sf_dir, "text", "lang").select(
+        "battle_id",
+        F.concat(F.lit("q"), "battle_id").alias("question_id"),
+        F.col("lang").alias("language"),
+        F.when(F.col("battle_id") % 5 == 0, "test").otherwise("train").alias("split"),
+        "model_a",
+        "model_b",
+        "winner",
+        nested.alias("conversation_a"),
+    ).write.parquet(path)
+    return path
+
+
+def collect_job_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split of a snapshot through the collection job: every column comes along, by a text key."""
+    out = scratch_path(spark, "raw")
+    jobs.collect_job(spark, _snapshot(spark, sf_dir), out, split="train", key="question_id")
+    return spark.read.parquet(out).withColumn(
+        "conversation_a", F.coalesce(F.size("conversation_a"), F.lit(-1)).cast("long")
     )
-    collected = jobs.collect_prompts(readers.read_battles(spark, snapshot))
-    return collected.select("battle_id", "user_prompt")
+
+
+def collect_job_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as CSV, the conversation as JSON text."""
+    out = scratch_path(spark, "raw")
+    jobs.collect_job(spark, _snapshot(spark, sf_dir), out, split="train", as_csv=True, key="question_id")
+    names = ("question_id", "language", "split", "conversation_a", "user_prompt")
+    read = readers.read_csv(spark, out, T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    nested = F.from_json("conversation_a", "array<struct<content:string,role:string>>")
+    return read.select(
+        "question_id",
+        "language",
+        "split",
+        "user_prompt",
+        F.get(nested["content"], F.lit(0)).alias("opening"),
+        F.get(nested["role"], F.lit(1)).alias("second_role"),
+    )
+
+
+OWN_RULES = LabelRules(
+    tiers=(Tier("Small", ("koala-13b", "llama-13b")), Tier("Large", ("gpt-4", "koala-13b"))),
+    decisive_winners=("model_a",),
+    prompt_col="question",
+    winner_col="verdict",
+    model_a_col="left_model",
+    model_b_col="right_model",
+)
+
+
+def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own tiers and column names from CSV through labelling to the stored table."""
+    raw, out, path = (scratch_path(spark, n) for n in ("raw", "labeled", "prompts"))
+    named = battles(spark, sf_dir).withColumnsRenamed(
+        {"user_prompt": "question", "winner": "verdict", "model_a": "left_model", "model_b": "right_model"}
+    )
+    writers.write_csv(named, raw)
+    labeled = jobs.label_job(spark, raw, out, OWN_RULES, as_csv=True)
+    table = "prompts_" + path.rsplit("-", 1)[1]
+    prompt_table.save_prompts(labeled, "battle_id", table, path=path)
+    return prompt_table.read_prompts(spark, table)
 
 
 def drop_null_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +229,12 @@ def dense_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_dense_id(_labeled(spark, sf_dir).select("battle_id", TIER_COL), "battle_id")
 
 
+def dense_id_text_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in the order of a text key, over whole texts."""
+    docs = read_table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("k"), "text")
+    return with_dense_id(docs, "k").select("id", "k", F.length("text").cast("long").alias("chars"))
+
+
 def dense_id_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids over a key that repeats; equal keys may be ordered either way, so they are summed."""
     lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
@@ -209,10 +277,10 @@ def documents_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An export larger than the table holds every row."""
+    """An export without a number of documents holds every row."""
     path = scratch_path(spark, "documents")
     labeled = _labeled(spark, sf_dir)
-    writers.export_documents(labeled, path, "battle_id", n_docs=1_000_000_000)
+    writers.export_documents(labeled, path, "battle_id", n_docs=None)
     return readers.read_documents(spark, path)
 
 
@@ -241,6 +309,15 @@ def csv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text features ------------------------------------------------------------
 
 
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default keywords, put into every text next to signs, capitals and underscores."""
+    put = ", ".join(f"'{k}'" for k in COMPLEX_KEYWORDS)
+    texts = _documents(spark, sf_dir).withColumn("k", F.expr(f"array({put})[doc_id % {len(COMPLEX_KEYWORDS)}]"))
+    text = F.expr("concat(text, ' ', k, '! (', upper(k), ') ', k, '_ x', k, ' ', initcap(k), ';')")
+    count = text_functions.complex_keyword_count("text")
+    return texts.withColumn("text", text).select("doc_id", count.cast("long").alias("hits"))
+
+
 def _feature(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         featured = with_text_features(_documents(spark, sf_dir), "text", (name,))
@@ -323,7 +400,7 @@ def tfidf_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same cells from a model that was saved and loaded again."""
     path = scratch_path(spark, "model")
-    _fit(spark, sf_dir).save(path)
+    _fit(spark, sf_dir).save(spark, path)
     model = tfidf.TfidfModel.load(spark, path)
     scored = model.transform(_documents(spark, sf_dir))
     return tfidf.long_form(scored, model, "doc_id").withColumn("weight", _six("weight"))
@@ -344,7 +421,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.feature_job(spark, out, model_path, table)
     cells = F.expr("filter(cells, w -> w != 0)")
     stored = spark.read.parquet(out)
-    shown = stored.withColumn("cells", tfidf.vector_to_array("tfidf")).select(
+    shown = stored.withColumn("cells", F.unwrap_udt("tfidf")["values"]).select(
         "id",
         *text_functions.TEXT_FEATURES,
         F.size(cells).cast("long").alias("tfidf_nonzero"),
@@ -360,15 +437,29 @@ def tfidf_wide_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _fit(spark, sf_dir)
     wide = tfidf.widen(model.transform(_documents(spark, sf_dir)), model)
     columns = [c for c in wide.columns if c.startswith("tfidf_")]
-    names = ", ".join(term_functions.sql_text(c) for c in columns)
-    values = ", ".join(f"`{c}`" for c in columns)
-    cells = wide.selectExpr(f"inline(arrays_zip(array({names}), array({values})))")
-    totals = cells.toDF("feature", "weight").groupBy("feature").agg(F.sum("weight").alias("total"))
+    row = wide.agg(*[F.sum(f"`{c}`").alias(c) for c in columns])
+    totals = row.unpivot([], [f"`{c}`" for c in columns], "feature", "total")
     return totals.withColumn("total", F.round("total", 4))
 
 
+def feature_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature job's wide CSV, with the statistical features and the sum over all terms."""
+    table, out, model_path = _stored(spark, sf_dir), scratch_path(spark, "features"), scratch_path(spark, "model")
+    jobs.feature_job(spark, out, model_path, table, as_csv=True)
+    wide = spark.read.option("header", True).option("maxColumns", 4000).csv(out)
+    terms = ", ".join(f"`{c}`" for c in wide.columns if c.startswith("tfidf_"))
+    total = F.expr(f"aggregate(transform(array({terms}), w -> CAST(w AS DOUBLE)), 0.0D, (a, w) -> a + w)")
+    return wide.select(
+        F.col("prompt_length").cast("long").alias("prompt_length"),
+        F.col("word_count").cast("long").alias("word_count"),
+        _six(F.col("char_entropy").cast("double")).alias("char_entropy"),
+        _six(total).alias("tfidf_sum"),
+        TIER_COL,
+    )
+
+
 def feature_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labeled = spread_small(_labeled(spark, sf_dir))
+    labeled = spread(_labeled(spark, sf_dir))
     model = tfidf.fit_tfidf(labeled)
     return feature_report(labeled, len(model.terms)).withColumn("pct", _six("pct"))
 
@@ -377,6 +468,9 @@ QUERIES: dict[str, Query] = {
     "tier_summary": tier_summary,
     "first_prompt": first_prompt,
     "collected_prompts": collected_prompts,
+    "collect_job_columns": collect_job_columns,
+    "collect_job_csv": collect_job_csv,
+    "custom_rules": custom_rules,
     "drop_null_prompt": drop_null_prompt,
     "drop_blank_prompt": drop_blank_prompt,
     "decisive_only": decisive_only,
@@ -393,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "percent_bar": percent_bar,
     "imbalance": imbalance,
     "dense_id": dense_id,
+    "dense_id_text_key": dense_id_text_key,
     "dense_id_lineitem": dense_id_lineitem,
     "fetch_all": fetch_all,
     "fetch_tier": fetch_tier,
@@ -406,6 +501,7 @@ QUERIES: dict[str, Query] = {
     "csv_na_words": csv_na_words,
     "csv_pages": csv_pages,
     **{name: _feature(name) for name in text_functions.TEXT_FEATURES},
+    "keyword_hits": keyword_hits,
     "common_word_count": common_word_count,
     "text_features": _features("documents", "doc_id", "text"),
     "page_features": _features("pages", "page_id", "html"),
@@ -423,5 +519,6 @@ QUERIES: dict[str, Query] = {
     "tfidf_sparsity": tfidf_sparsity,
     "tfidf_wide_totals": tfidf_wide_totals,
     "feature_matrix": feature_matrix,
+    "feature_csv": feature_csv,
     "feature_report": feature_report_query,
 }
