@@ -73,4 +73,21 @@ DECONTAMINATE_SQL = f"""
     FROM docs d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES = {"op1_mix_sources": MIX_SQL, "op8_decontaminate": DECONTAMINATE_SQL}
+WARC_SQL = """
+    WITH payloads AS (
+        SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages
+    ), largest AS (
+        SELECT *, max(page_id) OVER (PARTITION BY payload) AS original FROM payloads
+    )
+    SELECT page_id, strlen(payload) AS payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               (((('0x' || substr(digest, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1), 1)), '')
+               AS payload_digest,
+           CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN original <> page_id THEN original END AS refers_to,
+           true AS digest_holds
+    FROM largest
+"""
+
+ORACLES = {"op1_mix_sources": MIX_SQL, "op3_warc": WARC_SQL, "op8_decontaminate": DECONTAMINATE_SQL}
