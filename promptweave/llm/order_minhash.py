@@ -24,6 +24,7 @@ TOKEN = r"\S{1,8}"
 PLACE = (1 << 31) - 1
 BIN_SHIFT = 64 - int(math.log2(BINS))
 BUCKETS_PER_PARTITION = 4
+TIES = 1 << 32
 
 
 def with_signature(df: DataFrame, text_col: str, out: str) -> DataFrame:
@@ -106,16 +107,23 @@ def as_text(signature: str) -> Column:
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Deal rows to ranges of doc_id of about equal depth; nulls go to the first."""
-    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id"))
+    """Deal rows to ranges of ``(doc_id, _tie)`` of about equal depth; null ids are the smallest.
+
+    A row's place is its doc_id plus a fraction from its tie, so rows that share
+    a doc_id are split as well. Rounding may put neighbours in one range, never
+    out of order.
+    """
+    smallest = docs.agg(F.min("doc_id")).first()[0] or 0
+    fraction = F.col("_tie") / F.lit(float(TIES))
+    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(float(smallest) - 1.0)) + fraction
+    placed = docs.withColumn("_place", place)
     steps = [i / buckets for i in range(1, buckets)]
-    borders = sorted(set(ids.approxQuantile("doc_id", steps, 0.25 / buckets))) if steps else []
+    borders = sorted(set(placed.approxQuantile("_place", steps, 0.25 / buckets))) if steps else []
     if not borders:
         return docs.withColumn("_bucket", F.lit(0))
     splits = [-math.inf, *borders, math.inf]
-    bucketizer = Bucketizer(splits=splits, inputCol="_id", outputCol="_bucket", handleInvalid="keep")
-    dealt = bucketizer.transform(docs.withColumn("_id", F.col("doc_id").cast("double"))).drop("_id")
-    return dealt.withColumn("_bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_bucket").cast("int")))
+    dealt = Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket").transform(placed)
+    return dealt.withColumn("_bucket", F.col("_bucket").cast("int")).drop("_place")
 
 
 def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
@@ -127,7 +135,8 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     ids are the smallest.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _bucketed(docs, buckets or BUCKETS_PER_PARTITION * partitions).withColumn("_tie", F.xxhash64("text"))
+    tied = docs.withColumn("_tie", F.pmod(F.xxhash64("text"), F.lit(TIES)))
+    placed = _bucketed(tied, buckets or BUCKETS_PER_PARTITION * partitions)
     last = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_tie")).alias("last")
     ends = sorted(placed.groupBy("_bucket").agg(last).collect())
     above = [e["_bucket"] for e in ends[1:] + ends[:1]]

@@ -16,7 +16,7 @@ from promptweave.llm.common import connected_components, in_order, join_checked
 from promptweave.llm.decontaminate import cut_contaminated, decontamination_report, drop_contaminated
 from promptweave.llm.main_text import main_text, page_lines
 from promptweave.llm.mixing import mix_sources, repetition_rates
-from promptweave.llm.order_minhash import fingerprints
+from promptweave.llm.order_minhash import fingerprints, with_next
 from promptweave.llm.pii import pii_report, sanitise
 from promptweave.llm.quality import document_statistics, fit_boosted_trees, fit_quality, keep_quality, score_documents
 from promptweave.llm.queries import TOKENIZER
@@ -135,6 +135,23 @@ def test_fingerprint_of_one_row_and_of_repetition(spark):
     assert found[2]["near_next"] == 0.0
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 40])
+def test_next_rows_in_any_number_of_ranges(spark, buckets):
+    ids = [5] * 20 + [None] * 10 + list(range(-20, 60, 3)) + [2**60, 2**60 + 1]
+    df = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(4)
+    rows = with_next(df, ["doc_id", "text"], buckets).collect()
+    order = {(r["doc_id"], r["text"]): (r["_next"]["doc_id"], r["_next"]["text"]) for r in rows}
+    assert len(rows) == len(order) == len(ids)
+    at = start = next(k for k in order if k[0] == 2**60 + 1)
+    seen = []
+    while at not in seen[:1]:
+        seen.append(at)
+        at = order[at]
+    assert at == start and len(seen) == len(ids)
+    expected = sorted((d for d in ids), key=lambda d: (d is None, -(d or 0)))
+    assert [d for d, _ in seen] == expected
+
+
 def test_order_counts(spark):
     words = [f"word{i}" for i in range(400)]
     moved = words[200:] + words[:200]
