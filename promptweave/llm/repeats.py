@@ -28,6 +28,8 @@ from promptweave.llm.common import join_checked, stored, text_or_empty
 WINDOW = 400
 GRAM = 64
 SHARD_FRAGMENTS = 4096
+CROWD_FRAGMENTS = 20_000
+CLASS = 43
 _CHUNK = 1 << 20
 _PLACE = np.uint64((1 << 31) - 1)
 # An odd multiplier, and a number per byte value drawn from a fixed seed.
@@ -274,12 +276,80 @@ def repeated_windows(groups: np.ndarray, pieces: list[bytes], offsets: np.ndarra
 
 
 def _solve_shard(shard: pd.DataFrame) -> pd.DataFrame:
-    shard = shard.sort_values(["h", "fh"], ignore_index=True)
-    groups = shard["h"].rank(method="dense").astype("int64").to_numpy()
+    shard = shard.sort_values(["crowd", "part"], ignore_index=True)
+    groups = (shard["crowd"].diff() != 0).cumsum().to_numpy(np.int64)
     ranges = repeated_windows(
         groups, [bytes(p) for p in shard["piece"]], shard["off"].to_numpy(np.int64), shard["n"].to_numpy(np.int64)
     )
-    return pd.DataFrame({"h": shard["h"], "fh": shard["fh"], "ranges": ranges})
+    return pd.DataFrame({"crowd": shard["crowd"], "part": shard["part"], "ranges": ranges})
+
+
+def _solved(pieces: DataFrame, n_pieces: int) -> DataFrame:
+    """``(crowd, part, ranges)`` of pieces ``(crowd, part, n, off, piece)``; crowds are dealt to shards whole."""
+    shards = max(1, n_pieces // SHARD_FRAGMENTS)
+    return (
+        pieces.withColumn("shard", F.pmod(F.xxhash64("crowd"), F.lit(shards)))
+        .groupBy("shard")
+        .applyInPandas(_solve_shard, "crowd long, part long, ranges array<long>")
+        .where("size(ranges) > 0")
+    )
+
+
+def _split_crowds(pieces: DataFrame) -> DataFrame:
+    """Cut the pieces of crowded anchors by where a window starts before the anchor.
+
+    The windows of one class of ``CLASS`` neighbouring starts share a core of
+    their bytes, and two pieces can share one only if their cores are equal. So
+    each class is a crowd per core, and of the piece only what its windows
+    cover: pieces that differ elsewhere become equal and count once.
+    """
+    core = WINDOW - CLASS + 1
+    classes = -(-(WINDOW - GRAM + 1) // CLASS)
+    return (
+        pieces.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit((classes - 1) * CLASS), F.lit(CLASS))))
+        .where(f"off >= c AND off - c + {core} <= octet_length(piece)")
+        .withColumn("begin", F.expr(f"greatest(0, off - c - {CLASS - 1})"))
+        .select(
+            "h",
+            "fh",
+            "n",
+            F.expr(f"xxhash64(h, c, substring(piece, CAST(off - c + 1 AS INT), {core}))").alias("crowd"),
+            F.expr("off - begin").alias("off"),
+            F.expr(f"substring(piece, CAST(begin + 1 AS INT), CAST(off - c + {WINDOW} - begin AS INT))").alias("piece"),
+        )
+        .withColumn("part", F.xxhash64("piece", "off"))
+    )
+
+
+def _ranges_of_fragments(docs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """``(h, fh, ranges)`` of the fragments that hold windows which occur elsewhere."""
+    crowded = stored(
+        fragments.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > CROWD_FRAGMENTS).select("h")
+    )
+    n_crowded = crowded.count()
+
+    def pieces(chosen: DataFrame) -> DataFrame:
+        return _texts_of(docs, chosen.select("key").distinct()).join(chosen, "key").select(
+            "h",
+            "fh",
+            "n",
+            (F.col("at") - F.col("lo")).alias("off"),
+            F.expr(f"substring(CAST(text AS BINARY), CAST(lo + 1 AS INT), CAST(hi - lo + {WINDOW} AS INT))").alias("piece"),
+        )
+
+    few = join_checked(fragments, crowded, ["h"], "left_anti", rows=n_crowded) if n_crowded else fragments
+    named = pieces(few).withColumnsRenamed({"h": "crowd", "fh": "part"})
+    solved = _solved(named, fragments.count())
+    found = solved.select(F.col("crowd").alias("h"), F.col("part").alias("fh"), "ranges")
+    if n_crowded:
+        many = join_checked(fragments, crowded, ["h"], "left_semi", rows=n_crowded)
+        parts = stored(_split_crowds(pieces(many)))
+        once = parts.groupBy("crowd", "part").agg(
+            F.sum("n").alias("n"), F.first("off").alias("off"), F.first("piece").alias("piece")
+        )
+        split = _solved(once, parts.count())
+        found = found.union(parts.join(split, ["crowd", "part"]).select("h", "fh", "ranges"))
+    return found
 
 
 def text_key(text_col: str = "text") -> Column:
@@ -318,22 +388,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("n"), F.min(F.struct("key", "at", "lo", "hi")).alias("rep"))
         .select("h", "fh", "n", "rep.*")
     )
-    pieces = _texts_of(docs, fragments.select("key").distinct()).join(fragments, "key").select(
-        "h",
-        "fh",
-        "n",
-        (F.col("at") - F.col("lo")).alias("off"),
-        F.expr(f"substring(CAST(text AS BINARY), CAST(lo + 1 AS INT), CAST(hi - lo + {WINDOW} AS INT))").alias("piece"),
-    )
-    shards = max(1, fragments.count() // SHARD_FRAGMENTS)
-    solved = stored(
-        pieces.withColumn("shard", F.pmod("h", F.lit(shards)))
-        .groupBy("shard")
-        .applyInPandas(_solve_shard, "h long, fh long, ranges array<long>")
-        .where("size(ranges) > 0")
-    )
+    solved = _ranges_of_fragments(docs, fragments)
     mixed = (
-        join_checked(candidates.where("mixed"), solved, ["h", "fh"], "inner")
+        join_checked(candidates.where("mixed"), stored(solved), ["h", "fh"], "inner")
         .select("key", "at", F.expr("explode(sequence(0, size(ranges) - 2, 2))").alias("i"), "ranges")
         .select("key", F.expr("at + ranges[i]").alias("lo"), F.expr("at + ranges[i + 1]").alias("hi"))
     )

@@ -243,7 +243,10 @@ def test_repeats(spark, docs, none):
     assert without_repeats(none).collect() == []
 
 
-def test_repeats_of_every_kind(spark):
+@pytest.mark.parametrize("crowd", [repeats_module.CROWD_FRAGMENTS, 2])
+def test_repeats_of_every_kind(spark, monkeypatch, crowd):
+    """With crowded anchors split, and without."""
+    monkeypatch.setattr(repeats_module, "CROWD_FRAGMENTS", crowd)
     rng = np.random.default_rng(1)
 
     def words(n):
