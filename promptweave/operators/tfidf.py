@@ -22,6 +22,7 @@ from promptweave.functions.constants import ENGLISH_STOP_WORDS
 from promptweave.functions.terms import content_words_sql, sql_text, terms_sql
 
 MAX_FEATURES = 1000
+NAMED_WORDS = 10_000
 
 VOCABULARY_SCHEMA = "idx int, term string, tf long, df long, idf double"
 
@@ -33,25 +34,30 @@ class Term:
     df: int
 
 
-def counted_terms(df: DataFrame, terms: str, first_words: DataFrame | None = None) -> DataFrame:
+def counted_terms(df: DataFrame, terms: str, first_words: list[str] | None = None) -> DataFrame:
     """``(term, tf, df)`` of an SQL array expression, with one shuffle on the term.
 
-    ``first_words (word)`` keeps the terms that start with one of these words.
+    ``first_words`` keeps the terms that start with one of these words: within
+    the row as long as the caller asks for few, else by a join with them.
 
     Sorting a row's terms marks the last of each run of equals, so occurrences
     and rows holding the term come out of the same exploded rows: no row id and
     no distinct. Both sums are combined before the shuffle, so a term of any
     frequency sends one row per map task.
     """
+    named = first_words is not None and len(first_words) <= NAMED_WORDS
+    if named:
+        listed = ", ".join(sql_text(w) for w in first_words)
+        terms = f"filter({terms}, t -> substring_index(t, ' ', 1) IN ({listed}))"
     marked = (
         f"transform(array(sort_array({terms})), ws -> zip_with(ws, slice(ws, 2, size(ws)), "
         "(a, b) -> named_struct('term', a, 'last', NOT a <=> b)))[0]"
     )
     # explode_outer, as the size check that explode adds would copy the tokeniser.
     exploded = df.select(F.explode_outer(F.expr(marked)).alias("t")).where("t IS NOT NULL")
-    if first_words is not None:
-        starts = F.substring_index("t.term", " ", 1) == F.col("word")
-        exploded = exploded.join(first_words, starts, "left_semi")
+    if first_words is not None and not named:
+        words = df.sparkSession.createDataFrame([(w,) for w in first_words], "word string")
+        exploded = exploded.join(words, F.substring_index("t.term", " ", 1) == F.col("word"), "left_semi")
     return (
         exploded.groupBy("t.term")
         .agg(F.count("*").alias("tf"), F.count_if("t.last").alias("df"))
@@ -92,8 +98,7 @@ def fit_tfidf(
     n_docs, frequent = _top_words(df, words, max_features)
     if not frequent:
         raise ValueError("no terms to fit: the texts hold only stop words or nothing")
-    first_words = df.sparkSession.createDataFrame([(w,) for w in frequent], "word string")
-    top = counted_terms(df, terms_sql(text_col, stop), first_words).orderBy(F.desc("tf"), "term").limit(max_features).collect()
+    top = counted_terms(df, terms_sql(text_col, stop), frequent).orderBy(F.desc("tf"), "term").limit(max_features).collect()
     chosen = sorted((Term(r["term"], r["tf"], r["df"]) for r in top), key=lambda t: t.term)
     return TfidfModel.build(df.sparkSession, chosen, n_docs, text_col, out, stop)
 

@@ -88,7 +88,14 @@ def test_only_terms_that_start_with_top_words_are_counted(spark, monkeypatch):
     fit_tfidf(frame(spark, texts), max_features=10)
     counts = Counter(w for t in texts for w in terms_of(t) if " " not in w)
     top = sorted(counts, key=lambda w: (-counts[w], w))[:10]
-    assert sorted(r["word"] for r in seen[0].collect()) == sorted(top)
+    assert sorted(seen[0]) == sorted(top)
+
+
+def test_listed_and_joined_words_give_the_same_terms(spark, monkeypatch):
+    df = frame(spark, corpus(150, 60))
+    listed = fit_tfidf(df, max_features=15).vocabulary
+    monkeypatch.setattr(tfidf, "NAMED_WORDS", 0)
+    assert fit_tfidf(df, max_features=15).vocabulary == listed
 
 
 def test_cells_of_dense_and_empty_vectors(spark):
