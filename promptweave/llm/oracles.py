@@ -90,4 +90,58 @@ WARC_SQL = """
     FROM largest
 """
 
-ORACLES = {"op1_mix_sources": MIX_SQL, "op3_warc": WARC_SQL, "op8_decontaminate": DECONTAMINATE_SQL}
+# Windows are read from the bytes' hexadecimal digits, two for each byte.
+REPEATS_SQL = """
+    WITH docs AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), windows AS (
+        SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS k
+        FROM (SELECT *, unnest(range(0, length(h) // 2 - 399)) AS i FROM docs WHERE length(h) >= 800)
+    ), repeated AS (
+        SELECT k FROM windows GROUP BY k HAVING count(*) > 1
+    ), starts AS (
+        SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p
+        FROM windows WHERE k IN (SELECT k FROM repeated)
+    ), grouped AS (
+        SELECT doc_id, i,
+               sum(CASE WHEN p IS NULL OR i > p + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+        FROM starts
+    ), spans AS (
+        SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM grouped GROUP BY doc_id, g
+    ), gaps AS (
+        SELECT *, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM spans
+    ), cut AS (
+        SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed, max(hi) AS last,
+               string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept
+        FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+    )
+    SELECT d.doc_id, length(h)::BIGINT // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+           coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+    FROM docs d LEFT JOIN cut USING (doc_id)
+"""
+
+# Every page of the test data has one article, of paragraphs below a heading.
+_PLAIN = "regexp_replace(replace(part, '<br>', ' '), '<[^>]*>', '', 'g')"
+for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_sign}')"
+MAIN_TEXT_SQL = f"""
+    WITH articles AS (
+        SELECT page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS inside FROM pages
+    ), texts AS (
+        SELECT page_id, url, array_to_string(list_filter(list_transform(
+                   regexp_split_to_array(inside, '</?(?:p|h1)>'),
+                   lambda part: trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g'))), lambda t: t <> ''),
+               chr(10) || chr(10)) AS text
+        FROM articles
+    )
+    SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""
+
+ORACLES = {
+    "op1_mix_sources": MIX_SQL,
+    "op3_warc": WARC_SQL,
+    "op5_repeats": REPEATS_SQL,
+    "op7_main_text": MAIN_TEXT_SQL,
+    "op8_decontaminate": DECONTAMINATE_SQL,
+}
