@@ -29,7 +29,9 @@ def model_coverage(labeled: DataFrame) -> DataFrame:
 def tier_shares(df: DataFrame, tier_col: str = TIER_COL) -> DataFrame:
     """Count and percent per tier.
 
-    The window without keys runs over the grouped rows, one per tier.
+    For columns of labels: the window without keys runs in one task over the
+    grouped rows, one per label. A column of very many values belongs in
+    ``value_counts``, which sorts them on all executors.
     """
     counts = _counts(df, tier_col)
     total = F.sum("count").over(Window.partitionBy())
