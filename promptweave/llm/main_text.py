@@ -1,11 +1,10 @@
 """Main text of web pages by differencing each page against the nearest one of its host.
 
 A page is cut into text lines, one per block. Lines of menus, footers, adverts
-and the like are marked by their elements and dropped. What is left outside of
-an article is aligned with that of the page whose URL path is nearest on the
-same host: lines of the longest common subsequence belong to the site, not to
-the page, and are deleted. Lines inside an article are never deleted, as two
-pages may carry one text.
+and the like are marked by their elements and dropped. What is left is aligned
+with that of the page whose URL path is nearest on the same host: lines of the
+longest common subsequence belong to the site, not to the page, and are deleted.
+Lines inside an article are never deleted, as two pages may carry one text.
 """
 
 from __future__ import annotations
@@ -193,20 +192,27 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for page_id, url, html in zip(part.column(0).to_pylist(), urls, part.column(2).to_pylist(), strict=True):
                 lines = page_lines(html)
-                # Only what a neighbour may have deleted needs a mark.
-                marks = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, role in lines if role == UNKNOWN]
+                marks = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines]
                 rows.append((page_id, url, *host_and_path(url), [t for t, _ in lines], [r for _, r in lines], marks))
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def assemble(lines: Sequence[str], roles: Sequence[int], marks: Sequence[int], nearest: Sequence[int]) -> str:
-    """The article's lines, or without one those that the nearest page does not share."""
-    content = [t for t, role in zip(lines, roles, strict=True) if role == CONTENT]
-    if content:
-        return "\n\n".join(content)
-    shared = common_lines(list(marks), list(nearest))
-    return "\n\n".join(t for i, t in enumerate(lines) if i not in shared)
+def assemble(
+    lines: Sequence[str], roles: Sequence[int], marks: Sequence[int], nearest: Sequence[int] | None
+) -> str:
+    """The lines that the nearest page does not share, and those of an article.
+
+    With no page to compare with, an article's lines, or without one all.
+    """
+    if nearest is None:
+        kept = [t for t, role in zip(lines, roles, strict=True) if role == CONTENT] or lines
+    elif UNKNOWN in roles:
+        shared = common_lines(list(marks), list(nearest))
+        kept = [t for i, (t, role) in enumerate(zip(lines, roles, strict=True)) if role == CONTENT or i not in shared]
+    else:
+        kept = lines
+    return "\n\n".join(kept)
 
 
 @F.pandas_udf(T.StringType())
@@ -219,7 +225,7 @@ def _assembled(
         path, lines, roles, marks, before, before_marks, after, after_marks, strict=True
     ):
         near = [(len(commonprefix([p, other])), m) for other, m in ((b, bm), (a, am)) if other is not None]
-        texts.append(assemble(ls, rs, ms, max(near, key=lambda x: x[0])[1] if near else []))
+        texts.append(assemble(ls, rs, ms, max(near, key=lambda x: x[0])[1] if near else None))
     return pd.Series(texts, dtype=object)
 
 

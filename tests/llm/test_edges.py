@@ -337,6 +337,14 @@ def test_main_text(spark):
     assert main_text(frame(spark, [], PAGES)).collect() == []
 
 
+def test_differencing_decides_in_pages_with_an_article(spark):
+    page = "<div>Top</div><article><p>Both</p><p>Text {0}</p></article><div>Note {0}</div><div>End</div>"
+    rows = [(i, f"http://h/a/{i}", page.format(i)) for i in (1, 2)]
+    rows.append((3, "http://alone/a", page.format(3)))
+    found = {r["page_id"]: r["text"].split("\n\n") for r in main_text(frame(spark, rows, PAGES)).collect()}
+    assert found == {1: ["Both", "Text 1", "Note 1"], 2: ["Both", "Text 2", "Note 2"], 3: ["Both", "Text 3"]}
+
+
 def test_decontamination(docs, none, bench):
     found = {r["doc_id"]: r for r in decontamination_report(docs, bench).collect()}
     assert found[8]["n_hit"] == 12 and found[8]["n_items"] == 2 and found[8]["contaminated"]
