@@ -229,33 +229,48 @@ def _assembled(
     return pd.Series(texts, dtype=object)
 
 
+def _neighbours(paths: DataFrame) -> DataFrame:
+    """Add ``before`` and ``after``: path and marks of the nearest rows of the host with another digest.
+
+    Rows in the order of ``host, path, digest`` that follow each other with one
+    digest are a run. Its first and last rows are ranked among their like, which
+    numbers the runs, so the rows sought are the ends of the runs beside it.
+    """
+    keys = ["host", "path", "digest"]
+    placed = in_order(paths, keys)
+
+    def ends(step: int, end: str, other: str) -> DataFrame:
+        beside = placed.select((F.col("_rank") + step).alias("_rank"), F.struct("host", "digest").alias("_beside"))
+        at_end = placed.join(beside, "_rank", "left").where(~F.struct("host", "digest").eqNullSafe(F.col("_beside")))
+        ranked = in_order(at_end.select(*keys, "marks", F.col("_rank").alias(end)), keys, "_run")
+        near = F.struct("host", "path", "marks").alias(other)
+        return ranked.select("_run", end, near)
+
+    first, last = ends(1, "_first", "after"), ends(-1, "_last", "before")
+    runs = first.select("_run", "_first", F.col("after.host").alias("_host")).join(last.select("_run", "_last"), "_run")
+    runs = runs.join(last.select((F.col("_run") + 1).alias("_run"), "before"), "_run", "left")
+    runs = runs.join(first.select((F.col("_run") - 1).alias("_run"), "after"), "_run", "left")
+    own = [F.when(F.col(f"{n}.host") == F.col("_host"), F.col(n)).alias(n) for n in ("before", "after")]
+    ranks = runs.select(F.explode(F.sequence("_first", "_last")).alias("_rank"), *own)
+    return placed.select(*keys, "_rank").join(ranks, "_rank").drop("_rank")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row per row of ``pages``.
 
-    Of the pages before and after in the order of paths on the host the one
-    with the longer common beginning of the path is nearest, the one before if
-    equal; of pages with one path the smallest page_id stands for it. The only
-    page of a host loses no line. A null or empty html has an empty text; a
-    null url has an empty host.
+    A page is compared with the nearest before or after it in the order of paths
+    on the host that has other lines, on its own path or another: the one with
+    the longer common beginning of the path, the one before if equal. Pages
+    without lines are passed over. Where all pages of a host have the same
+    lines, there is nothing to compare with. A null or empty html has an empty
+    text; a null url has an empty host.
     """
     parsed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string"), F.col("html").cast("string")
-    ).mapInArrow(_parse, _PARSED)
-    paths = parsed.groupBy("host", "path").agg(F.min(F.struct("page_id", "marks"))["marks"].alias("marks"))
-    placed = in_order(paths, ["host", "path"])
-
-    def beside(step: int, name: str) -> DataFrame:
-        return placed.select(
-            (F.col("_rank") + step).alias("_rank"),
-            F.col("host").alias(f"{name}_host"),
-            F.col("path").alias(name),
-            F.col("marks").alias(f"{name}_marks"),
-        )
-
-    near = placed.drop("marks").join(beside(1, "before"), "_rank", "left").join(beside(-1, "after"), "_rank", "left")
-    for name in ("before", "after"):
-        own = F.col("host") == F.col(f"{name}_host")
-        near = near.withColumn(name, F.when(own, F.col(name))).drop(f"{name}_host")
-    whole = parsed.join(near.drop("_rank"), ["host", "path"])
-    text = _assembled("path", "lines", "roles", "marks", "before", "before_marks", "after", "after_marks")
+    ).mapInArrow(_parse, _PARSED).withColumn("digest", F.xxhash64("marks"))
+    keys = ["host", "path", "digest"]
+    paths = parsed.where(F.size("marks") > 0).groupBy(*keys).agg(F.first("marks").alias("marks"))
+    whole = parsed.join(_neighbours(paths), keys, "left")
+    near = [F.col(f"{name}.{field}") for name in ("before", "after") for field in ("path", "marks")]
+    text = _assembled("path", "lines", "roles", "marks", *near)
     return whole.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

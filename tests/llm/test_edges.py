@@ -337,6 +337,19 @@ def test_main_text(spark):
     assert main_text(frame(spark, [], PAGES)).collect() == []
 
 
+def test_pages_are_compared_with_other_lines(spark):
+    """Copies side by side, pages that share one path, and pages without lines."""
+    page = "<div>Top</div><div>Only {0}</div><div>End</div>"
+    rows = [(i, f"http://copies/a/{i}", page.format("one")) for i in (1, 2, 3, 4)]
+    rows += [(5, "http://copies/a/35", ""), (6, "http://copies/z", page.format("two"))]
+    rows += [(i, f"http://path/index.php?id={i}", page.format(i)) for i in (11, 12, 13)]
+    rows += [(21, "http://same/a", page.format("x")), (22, "http://same/b", page.format("x"))]
+    found = {r["page_id"]: r["text"] for r in main_text(frame(spark, rows, PAGES)).collect()}
+    assert [found[i] for i in range(1, 7)] == ["Only one"] * 4 + ["", "Only two"]
+    assert [found[i] for i in (11, 12, 13)] == ["Only 11", "Only 12", "Only 13"]
+    assert found[21] == found[22] == "Top\n\nOnly x\n\nEnd"
+
+
 def test_differencing_decides_in_pages_with_an_article(spark):
     page = "<div>Top</div><article><p>Both</p><p>Text {0}</p></article><div>Note {0}</div><div>End</div>"
     rows = [(i, f"http://h/a/{i}", page.format(i)) for i in (1, 2)]
