@@ -1,11 +1,12 @@
 """Personal data, and the terms that give it away, with built-in functions only.
 
 Entities (mail and IP addresses, card and phone numbers) are found by pattern.
-Terms are the words around them. From counts over the whole corpus the share of
-an entity's information that a term discloses is the mutual information of the
-two, ln(p(t,e) / (p(t) p(e))), over the information of the entity, -ln p(e),
-with p(x) the share of documents. Terms above a threshold are generalised where
-they stand near the entity, those that occur nowhere else are removed.
+Terms are the words of the same document. From counts over the whole corpus the
+share of an entity's information that a term discloses is the mutual information
+of the two, ln(p(t,e) / (p(t) p(e))), over the information of the entity,
+-ln p(e), with p(x) the share of documents. Terms above a threshold are
+generalised wherever they stand in a document with the entity, those that occur
+nowhere else are removed.
 """
 
 from __future__ import annotations
@@ -24,12 +25,10 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "term")
-CONTEXT_CHARS = 100
-MIN_DOCUMENTS = 3
 DISCLOSURE = 0.9
+SHORTEST_NUMBER = 10
+FREQUENT_TERMS = 100_000
 TERM = r"(?<![\p{L}\p{N}_%+@.-])\p{L}{2,40}(?!\.?[\p{L}\p{N}_%+@-])"
-_BLANK_ENDED = r"^\S*(?:\s|$)"
-_BLANK_STARTED = r"(?:^|\s)\S*$"
 
 
 def _digits(value: Column) -> Column:
@@ -56,46 +55,27 @@ def _is_valid() -> Column:
     )
 
 
-def _matches(kind: str, rank: int) -> str:
-    """Matches of a pattern as structs; gap is the distance from the match before.
+def _spaced(pattern: str) -> str:
+    """Matches of a pattern in ``text`` as structs of gap, the distance from the match before, and value.
 
     Splitting a text by a pattern gives what lies between the very matches that
-    extracting it gives, so lengths make places. Context is what stands within
-    100 signs, without words that are cut off there.
+    extracting it gives, so lengths make places.
     """
-    pattern = f"r'{PATTERNS[kind]}'"
-    before = f"right(p, {CONTEXT_CHARS})"
-    after = f"left(q, {CONTEXT_CHARS})"
-    need = {"email": "contains(text, '@')", "phone": "contains(text, '+')"}.get(kind, "text rlike '[0-9]'")
-    each = (
-        f"zip_with(zip_with(slice(ps, 1, size(ms)), slice(ps, 2, size(ms)), (p, q) -> named_struct("
-        f"'gap', length(p), "
-        f"'before', IF(length(p) > {CONTEXT_CHARS}, regexp_replace({before}, r'{_BLANK_ENDED}', ' '), p), "
-        f"'skipped', length(p) - length(IF(length(p) > {CONTEXT_CHARS}, regexp_replace({before}, r'{_BLANK_ENDED}', ' '), p)), "
-        f"'after', IF(length(q) > {CONTEXT_CHARS}, regexp_replace({after}, r'{_BLANK_STARTED}', ' '), q))), ms, "
-        f"(c, m) -> named_struct('kind', '{kind}', 'rank', {rank}, 'gap', c.gap, 'value', m, "
-        f"'before', c.before, 'skipped', c.skipped, 'after', c.after))"
-    )
-    found = (
-        f"transform(array(regexp_extract_all(text, {pattern}, 0)), ms -> IF(size(ms) = 0, NULL, "
-        f"transform(array(split(text, {pattern}, -1)), ps -> {each})[0]))[0]"
+    each = "zip_with(slice(ps, 1, size(ms)), ms, (p, m) -> named_struct('gap', length(p), 'value', m))"
+    return (
+        f"transform(array(regexp_extract_all(text, r'{pattern}', 0)), ms -> IF(size(ms) = 0, NULL, "
+        f"transform(array(split(text, r'{pattern}', -1)), ps -> {each})[0]))[0]"
     )
-    return f"IF({need}, {found}, NULL)"  # a null text has no match
 
 
-def _words_at(text: str) -> str:
-    """Terms of a short text with their places in it."""
-    ends = (
-        "aggregate(arrays_zip(slice(ps, 1, size(ws)) AS p, ws AS w), named_struct('at', 0, 'found', "
-        "CAST(array() AS array<struct<term:string,at:int>>)), "
-        "(a, x) -> named_struct('at', a.at + length(x.p) + length(x.w), 'found', "
-        "concat(a.found, array(named_struct('term', lower(x.w), 'at', a.at + length(x.p))))), a -> a.found)"
-    )
-    ends = ends.replace("arrays_zip(slice(ps, 1, size(ws)) AS p, ws AS w)", "zip_with(slice(ps, 1, size(ws)), ws, (p, w) -> named_struct('p', p, 'w', w))")
-    return (
-        f"transform(array(regexp_extract_all({text}, r'{TERM}', 0)), ws -> "
-        f"transform(array(split({text}, r'{TERM}', -1)), ps -> {ends})[0])[0]"
+def _matches(kind: str, rank: int) -> str:
+    """Matches of the pattern of a kind."""
+    need = {"email": "contains(text, '@')", "phone": "contains(text, '+')"}.get(kind, "text rlike '[0-9]'")
+    found = (
+        f"transform({_spaced(PATTERNS[kind])}, m -> "
+        f"named_struct('kind', '{kind}', 'rank', {rank}, 'gap', m.gap, 'value', m.value))"
     )
+    return f"IF({need}, {found}, NULL)"  # a null text has no match
 
 
 def _entity() -> Column:
@@ -105,14 +85,20 @@ def _entity() -> Column:
 
 
 def scan(docs: DataFrame, *columns: str) -> DataFrame:
-    """Matches of each text as an array, with a key per row; stored, as the key must not change."""
+    """Matches of each text as an array, with a key per row; stored, as the key must not change.
+
+    ``_text`` is the text where a match may be valid, else null.
+    """
     found = [F.expr(_matches(kind, rank)) for rank, kind in enumerate(PATTERNS)]
     listed = F.flatten(F.array_compact(F.array(*found)))
-    return stored(docs.select(F.monotonically_increasing_id().alias("_key"), *columns, listed.alias("_found")))
+    keyed = docs.select(F.monotonically_increasing_id().alias("_key"), *dict.fromkeys([*columns, "text"]), listed.alias("_found"))
+    long = f"exists(_found, m -> m.kind IN ('email', 'ip') OR length(m.value) >= {SHORTEST_NUMBER})"
+    text = F.expr(f"IF({long}, text, NULL)").alias("_text")
+    return stored(keyed.select("_key", *columns, text, "_found"))
 
 
 def base_matches(scanned: DataFrame) -> DataFrame:
-    """Valid matches, one row each: ``_key, kind, rank, start, end, entity, gap, before, skipped, after``.
+    """Valid matches, one row each: ``_key, kind, rank, start, end, entity``.
 
     Starts are running sums over the matches of one text and kind, in code points.
     """
@@ -122,83 +108,80 @@ def base_matches(scanned: DataFrame) -> DataFrame:
     valid = placed.select(
         "_key", "m.*", (F.col("end") - F.length("m.value")).alias("start"), "end", _digits(F.col("m.value")).alias("digits")
     ).where(_is_valid())
-    return valid.select("_key", "kind", "rank", "start", "end", _entity().alias("entity"), "gap", "before", "skipped", "after")
-
-
-def context_terms(matches: DataFrame) -> DataFrame:
-    """Terms around each match: ``_key, entity, term, start, end``."""
-    before = F.expr(_words_at("before"))
-    after = F.expr(_words_at("after"))
-    sides = matches.select(
-        "_key",
-        "entity",
-        F.explode(
-            F.array(
-                F.struct((F.col("start") - F.col("gap") + F.col("skipped")).alias("base"), before.alias("words")),
-                F.struct(F.col("end").alias("base"), after.alias("words")),
-            )
-        ).alias("side"),
-    )
-    words = sides.select("_key", "entity", "side.base", F.explode("side.words").alias("w"))
-    start = F.col("base") + F.col("w.at")
-    return words.select(
-        "_key", "entity", F.col("w.term").alias("term"), start.alias("start"), (start + F.length("w.term")).alias("end")
-    )
+    return valid.select("_key", "kind", "rank", "start", "end", _entity().alias("entity"))
+
 
+_TERMS = f"array_distinct(transform(regexp_extract_all(text, r'{TERM}', 0), w -> lower(w)))"
+# Entities of the very same documents: how many, and two hashes over their keys.
+_CLASS = ["n_entity", "_x", "_y"]
 
-def disclosing_terms(
-    docs: DataFrame,
-    contexts: DataFrame,
-    min_documents: int = MIN_DOCUMENTS,
-    threshold: float = DISCLOSURE,
-) -> DataFrame:
-    """``(entity, term, disclosure)`` of the pairs that at least ``min_documents`` documents hold.
 
-    Counts run over all documents: those with the term near the entity, with
-    the entity, and with the term anywhere. Words of the corpus are counted for
-    candidate terms only, once per document, and summed before the shuffle.
+def entity_classes(matches: DataFrame) -> DataFrame:
+    """``(_key, classes)``: the classes of the entities of each document with any.
+
+    Entities that the same documents hold have equal counts with every term, so
+    they are one class; all values that one document alone holds are.
     """
-    pairs = (
-        contexts.select("_key", "entity", "term")
-        .distinct()
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_both"))
-        .where(F.col("n_both") >= min_documents)
+    held = matches.select("_key", "entity").distinct()
+    classes = held.groupBy("entity").agg(
+        F.count("*").alias("n_entity"),
+        F.bit_xor(F.xxhash64("_key")).alias("_x"),
+        F.bit_xor(F.xxhash64("_key", F.lit(1))).alias("_y"),
     )
-    pairs = stored(pairs)
-    entities = contexts.select("_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = stored(pairs.select("term").distinct())
-    n_candidates = candidates.count()
+    return held.join(classes, "entity").groupBy("_key").agg(F.collect_set(F.struct(*_CLASS)).alias("classes"))
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
+    """``(_key, term, disclosure)`` of the terms of a document that disclose an entity of it.
+
+    ``texts`` has ``_key, text, classes`` of the documents with entities. Counts
+    run over all documents: those with both, with the entity, and with the term.
+    A pair is counted unless the term alone is so frequent that no joint count
+    can reach the threshold; the frequent terms are at most ``FREQUENT_TERMS``,
+    as each holds more than that share of all counts.
+    """
     total = docs.count()
-    words = docs.select(
-        F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, r'{TERM}', 0), w -> lower(w)))")).alias("term")
+    frequency = stored(docs.select(F.explode(F.expr(_TERMS)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
+    mass = frequency.agg(F.sum("n_term")).first()[0] or 0
+    frequent = F.broadcast(frequency.where(F.col("n_term") > mass / FREQUENT_TERMS).withColumnRenamed("n_term", "_n"))
+    most = F.col("n_entity") * F.pow(F.lit(float(max(total, 1))) / F.col("n_entity"), F.lit(1 - threshold)) * (1 + 1e-9)
+    held = stored(
+        texts.select("_key", "classes", F.explode(F.expr(_TERMS)).alias("term"))
+        .join(frequent, "term", "left")
+        .select("_key", "term", "_n", F.inline("classes"))
+        .where(F.col("_n").isNull() | (F.col("_n") <= most))
+        .drop("_n")
     )
-    counted = join_checked(words, candidates, ["term"], "left_semi", rows=n_candidates)
-    frequency = counted.groupBy("term").agg(F.count("*").alias("n_term"))
-    joined = pairs.join(entities, "entity").join(frequency, "term")
+    pairs = held.groupBy(*_CLASS, "term").agg(F.count("*").alias("n_both")).join(frequency, "term")
     mutual = F.ln(F.lit(float(total)) * F.col("n_both") / F.col("n_entity") / F.col("n_term"))
     own = F.ln(F.lit(float(total)) / F.col("n_entity"))
     disclosure = F.when(own > 0, mutual / own)
-    return joined.withColumn("disclosure", disclosure).where(disclosure >= threshold).select("entity", "term", "disclosure")
+    flagged = stored(pairs.withColumn("disclosure", disclosure).where(disclosure >= threshold).drop("n_both", "n_term"))
+    own_terms = join_checked(held, flagged, [*_CLASS, "term"], "inner")
+    return own_terms.groupBy("_key", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def term_places(texts: DataFrame) -> DataFrame:
+    """All terms of texts with their places: ``_key, term, start, end``."""
+    rows = texts.select("_key", F.posexplode(F.expr(_spaced(TERM))).alias("_n", "m")).select(
+        "_key", "_n", "m.gap", F.length("m.value").alias("_size"), F.lower("m.value").alias("term")
+    )
+    along = Window.partitionBy("_key").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("_size")).over(along))
+    return placed.select("_key", "term", (F.col("end") - F.col("_size")).alias("start"), "end")
 
 
-def sensitive_spans(
-    scanned: DataFrame, docs: DataFrame, min_documents: int = MIN_DOCUMENTS, threshold: float = DISCLOSURE
-) -> DataFrame:
+def sensitive_spans(scanned: DataFrame, docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """Spans of each document that has any: ``_key`` and ``spans``, sorted ``(start, rank, kind, end, disclosure)``.
 
-    ``scanned`` is the ``scan`` of ``docs``. A term is listed once, with its
-    largest disclosure.
+    ``scanned`` is the ``scan`` of ``docs``. A term is listed wherever it
+    stands, with its largest disclosure.
     """
     matches = stored(base_matches(scanned))
-    contexts = stored(context_terms(matches))
-    flagged = stored(disclosing_terms(docs, contexts, min_documents, threshold))
-    terms = (
-        join_checked(contexts, flagged, ["entity", "term"], "inner")
-        .groupBy("_key", "start", "end")
-        .agg(F.max("disclosure").alias("disclosure"))
-        .withColumns({"kind": F.lit("term"), "rank": F.lit(len(PATTERNS))})
-    )
+    texts = scanned.select("_key", F.col("_text").alias("text")).join(stored(entity_classes(matches)), "_key")
+    found = stored(disclosing_terms(docs, texts, threshold))
+    terms = term_places(texts.join(found.select("_key").distinct(), "_key", "left_semi")).join(found, ["_key", "term"])
+    terms = terms.withColumns({"kind": F.lit("term"), "rank": F.lit(len(PATTERNS))})
     columns = ["_key", "start", "rank", "kind", "end", "disclosure"]
     base = matches.withColumn("disclosure", F.lit(1.0))
     spans = base.select(*columns).union(terms.select(*columns))
@@ -208,13 +191,13 @@ def sensitive_spans(
 _NO_SPANS = "CAST(array() AS array<struct<start:bigint,rank:int,kind:string,end:bigint,disclosure:double>>)"
 
 
-def pii_report(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, threshold: float = DISCLOSURE) -> DataFrame:
+def pii_report(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans)``, one row per row of ``docs``.
 
     A null text is empty and has no spans; rows that repeat are reported each.
     """
     scanned = scan(docs, "doc_id")
-    found = sensitive_spans(scanned, docs, min_documents, threshold)
+    found = sensitive_spans(scanned, docs, threshold)
     named = "array_join(transform({0}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     base = "filter(spans, s -> s.kind <> 'term')"
     counts = [
@@ -233,13 +216,13 @@ def pii_report(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, threshold: f
     )
 
 
-def sanitise(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, threshold: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = DISCLOSURE) -> DataFrame:
     """``docs`` with personal data replaced by its kind, disclosing terms by [TERM] or, if they disclose all, nothing.
 
     Spans that overlap are one. Null texts stay null, other columns as they are.
     """
     scanned = scan(docs, *docs.columns)
-    found = sensitive_spans(scanned, docs, min_documents, threshold)
+    found = sensitive_spans(scanned, docs, threshold)
     label = (
         "CASE WHEN s.kind <> 'term' THEN concat('[', upper(s.kind), ']') "
         "WHEN s.disclosure < 0.999999 THEN '[TERM]' ELSE '' END"

@@ -234,6 +234,23 @@ def test_disclosing_terms_are_generalised_or_removed(spark):
     assert text[100] == filler[0][1]
 
 
+def test_terms_disclose_wherever_they_stand(spark):
+    """A value that one or two documents hold, and a term far from it, more than once."""
+    far = "the day goes on and on " * 10
+    rows = [(i, "the plain talk of the day goes on and on") for i in range(100, 160)]
+    rows += [(1, f"Zarquon {far} to q@x.org or 10.1.2.3 {far} zarquon"), (2, f"{far} p@y.org {far} Vogon")]
+    rows += [(3, f"Vogon {far} p@y.org"), (4, "nobody here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii_report(docs).collect()}
+    terms = {d: {s[5:] for s in r["spans"].split(",") if s.startswith("term")} for d, r in found.items()}
+    for d, text in rows:
+        places = [(w, text.lower().find(w)) for w in ("zarquon", "vogon") if w in text.lower()]
+        places += [(w, text.lower().rfind(w)) for w, _ in places]
+        assert {f"{a}:{a + len(w)}" for w, a in places} <= terms[d]
+        assert not any(text[int(a) : int(b)] in ("the", "day", "on") for a, b in (s.split(":") for s in terms[d]))
+    assert found[4]["n_term"] == found[100]["n_term"] == 0 and found[1]["n_term"] == 4
+
+
 def test_repeats(spark, docs, none):
     plain = [(r[0], r[1]) for r in ROWS]
     found = sorted((tuple(r) for r in repeats_report(docs).collect()), key=str)
