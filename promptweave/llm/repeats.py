@@ -321,6 +321,29 @@ def _split_crowds(pieces: DataFrame) -> DataFrame:
     )
 
 
+def _by_single_window(pieces: DataFrame) -> DataFrame:
+    """``(crowd, part, ranges)`` of pieces ``(crowd, part, n, off, piece)``, by a digest of each window.
+
+    For crowds that stay crowded: equal digests are summed before the shuffle
+    and joined back, so no task gathers a crowd.
+    """
+    windows = pieces.withColumn("p", F.explode(F.expr(f"sequence(0, CAST(octet_length(piece) AS INT) - {WINDOW})"))).select(
+        "crowd",
+        "part",
+        "n",
+        (F.col("p") - F.col("off")).alias("start"),
+        F.unhex(F.sha2(F.expr(f"substring(piece, p + 1, {WINDOW})"), 256)).alias("window"),
+    )
+    repeated = stored(windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window"))
+    found = (
+        join_checked(windows, repeated, ["window"], "left_semi")
+        .groupBy("crowd", "part")
+        .agg(F.array_sort(F.collect_set("start")).alias("s"))
+    )
+    ends = "filter(s, x -> NOT array_contains(s, x - 1)), filter(s, x -> NOT array_contains(s, x + 1))"
+    return found.select("crowd", "part", F.expr(f"flatten(zip_with({ends}, (a, b) -> array(a, b)))").alias("ranges"))
+
+
 def _ranges_of_fragments(docs: DataFrame, fragments: DataFrame) -> DataFrame:
     """``(h, fh, ranges)`` of the fragments that hold windows which occur elsewhere."""
     crowded = stored(
@@ -344,10 +367,20 @@ def _ranges_of_fragments(docs: DataFrame, fragments: DataFrame) -> DataFrame:
     if n_crowded:
         many = join_checked(fragments, crowded, ["h"], "left_semi", rows=n_crowded)
         parts = stored(_split_crowds(pieces(many)))
-        once = parts.groupBy("crowd", "part").agg(
-            F.sum("n").alias("n"), F.first("off").alias("off"), F.first("piece").alias("piece")
+        once = stored(
+            parts.groupBy("crowd", "part").agg(
+                F.sum("n").alias("n"), F.first("off").alias("off"), F.first("piece").alias("piece")
+            )
+        )
+        # Pieces that differ beside a common core are one crowd still.
+        still = stored(
+            once.groupBy("crowd").agg(F.count("*").alias("c")).where(F.col("c") > CROWD_FRAGMENTS).select("crowd")
         )
-        split = _solved(once, parts.count())
+        n_still = still.count()
+        rest = join_checked(once, still, ["crowd"], "left_anti", rows=n_still) if n_still else once
+        split = _solved(rest, once.count())
+        if n_still:
+            split = split.union(_by_single_window(join_checked(once, still, ["crowd"], "left_semi", rows=n_still)))
         found = found.union(parts.join(split, ["crowd", "part"]).select("h", "fh", "ranges"))
     return found
 

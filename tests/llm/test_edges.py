@@ -284,6 +284,29 @@ def test_repeats_of_every_kind(spark, monkeypatch, crowd):
     assert left[5] == "" and left[3] == rows[3]
 
 
+def test_no_crowd_is_gathered(spark, monkeypatch):
+    """A passage with other text around it each time: its edge has a core in common and differs beside it."""
+    monkeypatch.setattr(repeats_module, "CROWD_FRAGMENTS", 20)
+    solved, largest = repeats_module._solved, []
+
+    def watched(pieces, n_pieces):
+        largest.append(pieces.groupBy("crowd").count().agg({"count": "max"}).first()[0] or 0)
+        return solved(pieces, n_pieces)
+
+    monkeypatch.setattr(repeats_module, "_solved", watched)
+    rng = np.random.default_rng(2)
+
+    def words(n):
+        return "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+    passage, beside = words(1200), words(30)
+    docs = [(i, words(500) + (beside if i % 9 == 0 else "") + passage + words(500)) for i in range(60)]
+    docs += [(60, docs[0][1]), (61, "x" + docs[1][1][:1500])]
+    found = {r["doc_id"]: tuple(r)[1:] for r in repeats_report(frame(spark, docs)).collect()}
+    assert found == {d: e for (d, _), e in zip(docs, brute.removed_repeats(docs), strict=True)}
+    assert len(largest) == 2 and max(largest) <= 20
+
+
 def test_a_wrong_hash_is_found_out(monkeypatch):
     """With a hash that is the same for all bytes, sorting falls back on comparing them."""
     monkeypatch.setattr(repeats_module, "_TABLE", np.zeros(256, np.uint64))
