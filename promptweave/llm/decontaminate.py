@@ -8,6 +8,7 @@ beyond ``BLOCK_WINDOWS`` is probed in blocks of that size, one after another.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -106,7 +107,11 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = stored(benchmark_windows(benchmark))
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_key"))
     parts = []
-    for block in window_blocks(windows):
+    blocks = window_blocks(windows)
+    begin = list(islice(blocks, 2))
+    if len(begin) > 1:
+        keyed = stored(keyed)  # a scan that is planned anew may give other keys
+    for block in chain(begin, blocks):
         scan = keyed.select("_key", "doc_id", F.expr(block.scan_sql()).alias("_scan"))
         parts.append(stored(scan.select("_key", "doc_id", "_scan.n_words", F.col("_scan.hits").alias("_hits"))))
     if not parts:

@@ -422,6 +422,17 @@ def test_decontamination_in_blocks(docs, bench, monkeypatch):
     assert ids(drop_contaminated(docs, bench)) == [1, 2, 3, 4, 5, 5, 7, 9]
 
 
+def test_blocks_agree_on_rows_that_come_in_another_order(spark, bench, monkeypatch):
+    from promptweave.llm import decontaminate
+
+    rows = [(i, f"Intro {i}. {BENCH}" if i % 3 == 0 else f"plain {i}") for i in range(60)]
+    plain = frame(spark, rows).coalesce(1)
+    shuffled = plain.mapInPandas(lambda batches: (b.sample(frac=1) for b in batches), plain.schema)
+    whole = sorted(map(str, decontamination_report(plain, bench).collect()))
+    monkeypatch.setattr(decontaminate.window_blocks, "__defaults__", (2,))
+    assert sorted(map(str, decontamination_report(shuffled, bench).collect())) == whole
+
+
 def test_simhash(docs, none):
     found = simhash_components(docs).collect()
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in found) == [(d is not None, d or 0) for d in ALL]
