@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptweave.llm.common import read_table
+from promptweave.llm.conversation_repair import damaged, repair_report
 from promptweave.llm.decontaminate import decontamination_report
 from promptweave.llm.main_text import main_text
 from promptweave.llm.mixing import mix_sources
@@ -80,6 +81,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -93,5 +98,6 @@ QUERIES: dict[str, Query] = {
         op8_decontaminate,
         op9_simhash,
         op10_quality,
+        op11_conversation_repair,
     )
 }
