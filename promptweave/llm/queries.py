@@ -18,6 +18,7 @@ from promptweave.llm.pii import pii_report
 from promptweave.llm.quality import fit_quality, score_documents
 from promptweave.llm.repeats import repeats_report
 from promptweave.llm.simhash import simhash_components
+from promptweave.llm.spelling import spelling_report
 from promptweave.llm.tokens import read_tokens, write_tokens
 from promptweave.llm.warc import assemble_captures, read_archives, write_archives
 from promptweave.session import scratch_path
@@ -85,6 +86,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(read_table(spark, sf_dir, "conversations")))
 
 
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -99,5 +104,6 @@ QUERIES: dict[str, Query] = {
         op9_simhash,
         op10_quality,
         op11_conversation_repair,
+        op12_spelling_groups,
     )
 }
