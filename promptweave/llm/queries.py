@@ -20,6 +20,7 @@ from promptweave.llm.repeats import repeats_report
 from promptweave.llm.simhash import simhash_components
 from promptweave.llm.spelling import spelling_report
 from promptweave.llm.tokens import read_tokens, write_tokens
+from promptweave.llm.vector_dedup import vector_components
 from promptweave.llm.warc import assemble_captures, read_archives, write_archives
 from promptweave.session import scratch_path
 
@@ -90,6 +91,10 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_report(read_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -105,5 +110,6 @@ QUERIES: dict[str, Query] = {
         op10_quality,
         op11_conversation_repair,
         op12_spelling_groups,
+        op13_vector_dedup,
     )
 }
