@@ -38,7 +38,7 @@ RECALL = 0.998
 BUCKET_ROWS = 8
 BALL_ROWS = 16
 SKETCH_BITS = 22
-SKETCH_SIZE = 64
+LEAST_SIZE = 64
 SEED = 11
 _MARGIN = 1e-6
 _LOOKED_AT = {1: 8, 2: 6, 3: 4}
@@ -74,9 +74,13 @@ def _turned(x: np.ndarray, number: int) -> np.ndarray:
     return x
 
 
+def _turning_size(size: int) -> int:
+    return max(LEAST_SIZE, 1 << (size - 1).bit_length())
+
+
 def _padded(vectors: np.ndarray) -> np.ndarray:
-    """Unit rows, filled up to a power of two with zeros."""
-    size = 1 << (vectors.shape[1] - 1).bit_length()
+    """Unit rows, filled up with zeros to a power of two, to one that leaves room to turn in."""
+    size = _turning_size(vectors.shape[1])
     unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     return np.pad(unit, ((0, 0), (0, size - vectors.shape[1])))
 
@@ -133,7 +137,7 @@ def _hashed(tables: int, hashes: int):
                 sizes = np.diff(bounds)
                 homes = np.empty((part.num_rows, tables), np.int64)
                 probes = np.empty((part.num_rows, tables * PROBES), np.int64)
-                sketch, sketched = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, bool)
+                sketch = np.empty(part.num_rows, np.int64)
                 for size in np.unique(sizes):
                     rows = np.flatnonzero(sizes == size)
                     unit = _padded(values[bounds[rows][:, None] + np.arange(size)])
@@ -142,16 +146,14 @@ def _hashed(tables: int, hashes: int):
                         codes = np.where(codes < 0, -1, codes * tables + t)
                         homes[rows, t] = codes[:, 0]
                         probes[rows, t * PROBES : (t + 1) * PROBES] = codes[:, 1:]
-                    if unit.shape[1] >= SKETCH_SIZE:  # in few dimensions the bits hang together
-                        bits = _turned(unit, 1 << 20)[:, :64] > 0
-                        sketch[rows], sketched[rows] = np.packbits(bits, axis=1).view(">i8")[:, 0], True
+                    bits = _turned(unit, 1 << 20)[:, :64] > 0
+                    sketch[rows] = np.packbits(bits, axis=1).view(">i8")[:, 0]
 
                 def listed(codes: np.ndarray) -> pa.Array:
                     ends = np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32)
                     return pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.ravel()))
 
-                columns = [*part.columns, pa.array(sizes.astype(np.int32)), listed(homes), listed(probes)]
-                columns.append(pa.array(sketch, mask=~sketched))
+                columns = [*part.columns, pa.array(sizes.astype(np.int32)), listed(homes), listed(probes), pa.array(sketch)]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "dim", "homes", "probes", "sketch"])
 
     return run
@@ -320,7 +322,7 @@ def vector_components(df: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
             F.isnotnull("vec_id").alias("kept"),
         )
-    axes = 2 << (size - 1).bit_length()
+    axes = 2 * _turning_size(size)
     # More buckets than rows by far would only split pairs; 62 bits hold all codes.
     hashes = max(1, min(math.ceil(math.log(max(1, count / BUCKET_ROWS), axes)), int(40 / math.log2(axes))))
     tables = tables_for(size, hashes, cosine)
