@@ -315,12 +315,16 @@ ORACLES: dict[str, str] = {
         FROM (SELECT * FROM stored ORDER BY id LIMIT 100) WHERE "Target_Tier" = 'Tier_2_API'""",
     "documents_all": f"""
         WITH {STORED} SELECT id AS doc_id, user_prompt, "Target_Tier" FROM stored""",
+    "json_array_file": f"""
+        WITH {STORED} SELECT id AS doc_id, user_prompt, "Target_Tier" FROM stored""",
     "csv_roundtrip": f"""WITH {LABELED} SELECT battle_id, user_prompt, "Target_Tier" FROM labeled""",
     "csv_na_words": f"""
         WITH {BATTLES}
         SELECT battle_id, nullif(model_a, 'gpt-4') AS model_a, nullif(model_b, 'gpt-4') AS model_b,
                nullif(winner, 'tie') AS winner
         FROM battles""",
+    "csv_one_file": "SELECT page_id, url, html FROM pages",
+    "csv_file_order": "SELECT row_number() OVER (ORDER BY doc_id DESC) - 1 AS id, doc_id, length(text) AS chars FROM documents",
     "csv_pages": "SELECT page_id, url, html FROM pages",
     **{name: _feature_query("documents", "doc_id", "text", (name,)) for name in FEATURES},
     "keyword_hits": f"""

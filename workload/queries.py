@@ -306,6 +306,34 @@ def csv_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv(spark, path, pages.schema)
 
 
+def csv_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages, which hold quotes and line ends, from one file that many tasks read."""
+    path = scratch_path(spark, "pages")
+    pages = read_table(spark, sf_dir, "pages")
+    writers.write_csv(pages.coalesce(1), path, file_bytes=1 << 40)
+    return readers.read_csv(spark, path, pages.schema, split_above=0)
+
+
+def csv_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in the order of one CSV file, whose rows have no key of their own."""
+    path = scratch_path(spark, "documents")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    writers.write_csv(docs.coalesce(1).sortWithinPartitions(F.desc("doc_id")), path, file_bytes=1 << 40)
+    read = readers.read_csv(spark, path, docs.schema, split_above=0, place="place")
+    return with_dense_id(read, "place").select("id", "doc_id", F.length("text").cast("long").alias("chars"))
+
+
+def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled prompts from a file that holds one JSON array."""
+    path = scratch_path(spark, "array")
+    docs = writers.first_documents(_labeled(spark, sf_dir), "battle_id", n_docs=None)
+    opening = F.when(F.col("doc_id") == 0, "[").otherwise(",")
+    lines = docs.select("doc_id", F.concat(opening, F.to_json(F.struct("*"))).alias("line"))
+    ending = spark.range(1).select(F.lit((1 << 63) - 1).alias("doc_id"), F.lit("]").alias("line"))
+    lines.union(ending).coalesce(1).sortWithinPartitions("doc_id").select("line").write.text(path)
+    return readers.read_documents(spark, path, single_array=True)
+
+
 # --- text features ------------------------------------------------------------
 
 
@@ -500,6 +528,9 @@ QUERIES: dict[str, Query] = {
     "csv_roundtrip": csv_roundtrip,
     "csv_na_words": csv_na_words,
     "csv_pages": csv_pages,
+    "csv_one_file": csv_one_file,
+    "csv_file_order": csv_file_order,
+    "json_array_file": json_array_file,
     **{name: _feature(name) for name in text_functions.TEXT_FEATURES},
     "keyword_hits": keyword_hits,
     "common_word_count": common_word_count,
