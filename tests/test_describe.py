@@ -6,7 +6,9 @@ import random
 import pandas as pd
 import pytest
 
+from promptweave.operators import describe as module
 from promptweave.operators.describe import describe
+from tests.conftest import SMALL
 
 
 def check(spark, columns: dict[str, list], digits=None):
@@ -25,6 +27,31 @@ def check(spark, columns: dict[str, list], digits=None):
                 assert mine == pytest.approx(value, rel=1e-12, abs=1e-12), (row["feature"], stat)
 
 
+def test_two_scans(spark, monkeypatch):
+    """The sketch and one count of cells, over more values than are counted one by one."""
+    scans, counted = [], module._counted
+    monkeypatch.setattr(module, "VALUES", 1000)
+    monkeypatch.setattr(module, "_counted", lambda df, b: scans.append(b) or counted(df, b))
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    found = describe(lines, columns, None, materialise=False).collect()
+    assert len(scans) == 1
+    wanted = lines.select(*columns).toPandas().astype(float).describe()
+    for row in found:
+        for name, stat in (("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("mean", "mean"), ("std", "std")):
+            assert row[name] == pytest.approx(wanted[row["feature"]][stat], rel=1e-12)
+
+
+@pytest.mark.parametrize("error", [0.002, 0.0])
+def test_many_shapes_by_bins(spark, monkeypatch, error):
+    """Brackets too large to count by value, and brackets that miss their ranks."""
+    monkeypatch.setattr(module, "VALUES", 4)
+    monkeypatch.setattr(module, "RANK_ERROR", error)
+    monkeypatch.setattr(module, "SKETCH_SIZE", 16)
+    test_many_shapes(spark)
+    test_infinities_and_full_range(spark)
+
+
 def test_many_shapes(spark):
     rng = random.Random(3)
     n = 2501
