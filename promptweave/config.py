@@ -41,15 +41,26 @@ API_TIER = Tier(
 
 @dataclass(frozen=True)
 class LabelRules:
-    """Everything the labelling job may be told; tiers are tried in order."""
+    """Everything the labelling job may be told; tiers are tried in order.
+
+    Rows with one of ``decisive_winners`` are kept. Of these ``model_a_wins`` credits
+    model A, None for no value at all, and any other credits model B.
+    """
 
     tiers: tuple[Tier, ...] = field(default=(LOCAL_TIER, API_TIER))
     decisive_winners: tuple[str, ...] = ("model_a", "model_b")
+    model_a_wins: str | None = "model_a"
     prompt_col: str = PROMPT_COL
     winner_col: str = "winner"
     model_a_col: str = "model_a"
     model_b_col: str = "model_b"
 
+    def __post_init__(self):
+        if self.model_a_wins is not None and self.model_a_wins not in self.decisive_winners:
+            raise ValueError(
+                f"model_a_wins is {self.model_a_wins!r}, which is not among decisive_winners {self.decisive_winners}"
+            )
+
     @property
     def input_columns(self) -> tuple[str, ...]:
         return (self.winner_col, self.model_a_col, self.model_b_col, self.prompt_col)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from promptweave.config import PROMPT_COL, TIER_COL, WINNING_MODEL_COL, LabelRules
@@ -32,7 +32,7 @@ def has_decisive_winner(rules: LabelRules = LabelRules()) -> Column:
 
 def winning_model(rules: LabelRules = LabelRules()) -> Column:
     """Name of the winner; model names are stripped before the tier lookup."""
-    won_by_a = strip(rules.winner_col) == "model_a"
+    won_by_a = strip(rules.winner_col) == F.lit(rules.model_a_wins)
     return F.when(won_by_a, strip(rules.model_a_col)).otherwise(strip(rules.model_b_col))
 
 
@@ -97,15 +97,13 @@ def drop_rule(rules: LabelRules = LabelRules()) -> Column:
     )
 
 
-def drop_audit(df: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
-    """Rows before, dropped and left per rule, from a single pass over the battles."""
-    require_columns(df, rules.input_columns, "battles")
-    failed = F.col(DROP_RULE_COL)
+def _audit_counts(failed: Column) -> list[Column]:
     numbers = range(1, len(DROP_REASONS) + 1)
-    counts = df.select(drop_rule(rules).alias(DROP_RULE_COL)).agg(
-        F.count("*").alias("rows"),
-        *[F.count_if(failed == n).alias(f"dropped_{n}") for n in numbers],
-    )
+    return [F.count(F.lit(1)).alias("rows"), *[F.count_if(failed == n).alias(f"dropped_{n}") for n in numbers]]
+
+
+def audit_steps(counts: DataFrame) -> DataFrame:
+    """Rows before, dropped and left per rule, from one row of counts ``rows, dropped_1 ..``."""
 
     def step(n: int) -> Column:
         earlier = sum((F.col(f"dropped_{m}") for m in range(1, n)), F.lit(0).cast("long"))
@@ -121,4 +119,32 @@ def drop_audit(df: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
             (before - dropped).alias("remaining"),
         )
 
-    return counts.select(F.inline(F.array(*[step(n) for n in numbers])))
+    return counts.select(F.inline(F.array(*[step(n) for n in range(1, len(DROP_REASONS) + 1)])))
+
+
+def drop_audit(df: DataFrame, rules: LabelRules = LabelRules()) -> DataFrame:
+    """Rows before, dropped and left per rule, from a single pass over the battles."""
+    require_columns(df, rules.input_columns, "battles")
+    failed = df.select(drop_rule(rules).alias(DROP_RULE_COL))
+    return audit_steps(failed.agg(*_audit_counts(F.col(DROP_RULE_COL))))
+
+
+def watched(df: DataFrame, rules: LabelRules = LabelRules()) -> tuple[DataFrame, Observation]:
+    """The battles, and the counts of the audit as whatever reads them next takes them along.
+
+    Write the result plainly and ask for ``counts.get`` after that: a global sort samples
+    what it sorts and would count it twice, as may tasks run again after a lost executor.
+    """
+    require_columns(df, rules.input_columns, "battles")
+    counts = Observation()
+    marked = df.withColumn(DROP_RULE_COL, drop_rule(rules))
+    return marked.observe(counts, *_audit_counts(F.col(DROP_RULE_COL))).drop(DROP_RULE_COL), counts
+
+
+AUDIT_COUNTS = ("rows", *[f"dropped_{n}" for n in range(1, len(DROP_REASONS) + 1)])
+
+
+def audit_table(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """The audit from counts that were taken along."""
+    row = tuple(counts[c] for c in AUDIT_COUNTS)
+    return audit_steps(spark.createDataFrame([row], ", ".join(f"{c} long" for c in AUDIT_COUNTS)))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from promptweave.config import LabelRules
 from promptweave.functions.conversation import first_message
 from promptweave.operators.features import assemble, with_text_features
-from promptweave.operators.labeling import labeled_prompts
+from promptweave.operators.labeling import audit_table, labeled_prompts, watched
 from promptweave.operators.partitioning import spread
 from promptweave.operators.tfidf import TfidfModel, fit_tfidf, widen
 from promptweave.schemas import require_columns
@@ -65,6 +65,22 @@ def label_job(
     return spark.read.parquet(out)
 
 
+def audited_label_job(
+    spark: SparkSession,
+    raw: str,
+    out: str,
+    rules: LabelRules = LabelRules(),
+    key: str = "battle_id",
+) -> tuple[DataFrame, DataFrame]:
+    """Raw battles to labelled prompts, and the drop audit, which the same scan counts.
+
+    Counting looks at every row, so the scan has no pushed filters; ``label_job`` has them.
+    """
+    seen, counts = watched(readers.read_battles(spark, raw, schema=None), rules)
+    writers.write_parquet(labeled_prompts(seen, rules, keep=(key,)), out)
+    return spark.read.parquet(out), audit_table(spark, counts.get)
+
+
 def store_job(
     labeled: DataFrame, key: str | None = "battle_id", table: str = prompt_table.PROMPT_TABLE
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from promptweave.operators.row_ids import with_dense_id
+from promptweave.operators.row_ids import numbered
 
 PROMPT_TABLE = "historical_prompts"
 
@@ -22,7 +22,8 @@ def save_prompts(
     Ids are dense in the order of ``key``, of the files read if it is None. An
     append goes on after the largest stored id, so ids stay unique. The table
     is partitioned by tier, which lets a fetch of one tier skip the files of
-    the others. The input may be derived: it is computed once.
+    the others. The input may be derived: it is computed once, and the number
+    of rows is known from giving ids.
     """
     if mode not in ("overwrite", "append"):
         raise ValueError(f"mode must be 'overwrite' or 'append', not {mode!r}")
@@ -32,7 +33,7 @@ def save_prompts(
         largest = spark.table(table).agg(F.max("id")).first()[0]
         start = 0 if largest is None else largest + 1
     columns = dict.fromkeys([*([key] if key else []), "user_prompt", "Target_Tier"])
-    rows = with_dense_id(labeled.select(*columns), key, "__id", start)
+    rows, n = numbered(labeled.select(*columns), key, "__id", start)
     writer = (
         rows.select(F.col("__id").alias("id"), "user_prompt", "Target_Tier")
         .write.mode(mode)
@@ -42,7 +43,7 @@ def save_prompts(
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
-    return spark.table(table).where(F.col("id") >= start).count()
+    return n
 
 
 def read_prompts(spark: SparkSession, table: str = PROMPT_TABLE) -> DataFrame:
@@ -66,11 +67,15 @@ def fetch_prompts(
     return rows.orderBy("id")
 
 
-def prompt_summary(spark: SparkSession, table: str = PROMPT_TABLE) -> DataFrame:
+def summarise(prompts: DataFrame) -> DataFrame:
     """Prompts and percent per tier, largest first; the window sees one row per tier."""
-    per_tier = _with_prompt(spark, table).groupBy("Target_Tier")
-    counts = per_tier.agg(F.count("*").alias("prompt_count"))
+    counts = prompts.groupBy("Target_Tier").agg(F.count("*").alias("prompt_count"))
     share = F.col("prompt_count") * F.lit(100.0) / F.sum("prompt_count").over(Window.partitionBy())
     return counts.withColumn("pct", F.round(share, 2)).orderBy(
         F.desc("prompt_count"), "Target_Tier"
     )
+
+
+def prompt_summary(spark: SparkSession, table: str = PROMPT_TABLE) -> DataFrame:
+    """Stored prompts and percent per tier, largest first."""
+    return summarise(_with_prompt(spark, table))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptweave.operators.row_ids import with_dense_id
+from promptweave.operators.row_ids import numbered
 
 CSV_FILE_BYTES = 128 << 20
 
@@ -63,18 +63,23 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def _first_documents(df: DataFrame, key: str | None, n_docs: int | None) -> tuple[DataFrame, int]:
+    rows, n = numbered(df, key, "__doc_id", n_rows=n_docs)
+    payload = [F.col(f"`{c}`") for c in df.columns if c not in (key, "doc_id")]
+    return rows.select(F.col("__doc_id").alias("doc_id"), *payload), n
+
+
 def first_documents(df: DataFrame, key: str | None, n_docs: int | None = 100) -> DataFrame:
     """First rows by key with a dense ``doc_id`` from 0, other columns as they are.
 
     ``n_docs=None`` numbers every row. Rows of equal keys are ordered by a hash,
     a NULL key is an error, whatever ``n_docs`` is.
     """
-    numbered = with_dense_id(df, key, "__doc_id", n_rows=n_docs)
-    payload = [F.col(f"`{c}`") for c in df.columns if c not in (key, "doc_id")]
-    return numbered.select(F.col("__doc_id").alias("doc_id"), *payload)
+    return _first_documents(df, key, n_docs)[0]
 
 
 def export_documents(df: DataFrame, path: str, key: str | None, n_docs: int | None = 100) -> int:
     """Write the first documents, or all with ``n_docs=None``, as JSON lines; returns how many."""
-    first_documents(df, key, n_docs).write.mode("overwrite").json(path)
-    return df.sparkSession.read.schema("doc_id long").json(path).count()
+    documents, n = _first_documents(df, key, n_docs)
+    documents.write.mode("overwrite").json(path)
+    return n

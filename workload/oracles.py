@@ -57,6 +57,12 @@ stored AS (
     SELECT row_number() OVER (ORDER BY battle_id) - 1 AS id, user_prompt, "Target_Tier"
     FROM labeled
 )"""
+# The same after three loads, one after the other.
+LOADED = f"""{LABELED},
+loaded AS (
+    SELECT row_number() OVER (ORDER BY battle_id % 3, battle_id) - 1 AS id, user_prompt, "Target_Tier"
+    FROM labeled
+)"""
 SHARES = """
     SELECT {col}, count(*) AS "count", count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct
     FROM {table} WHERE {col} IS NOT NULL GROUP BY {col}
@@ -308,6 +314,14 @@ ORACLES: dict[str, str] = {
         SELECT id, "Target_Tier" FROM stored
         UNION ALL
         SELECT id + (SELECT count(*) FROM stored), "Target_Tier" FROM stored""",
+    "store_loads": f"WITH {LOADED} SELECT * FROM loaded",
+    "store_head": f"""
+        WITH {LOADED}
+        SELECT id, substring(user_prompt, 1, 80) || '...' AS preview
+        FROM loaded WHERE "Target_Tier" = 'Tier_2_API' ORDER BY id LIMIT 50""",
+    "store_range": f"WITH {LOADED} SELECT * FROM loaded WHERE id BETWEEN 90 AND 310",
+    "stream_store": f"""
+        WITH {LABELED} SELECT user_prompt, "Target_Tier", count(*) AS n FROM labeled GROUP BY ALL""",
     "preview": "SELECT doc_id, substring(text, 1, 80) || '...' AS preview FROM documents",
     "documents_tier": f"""
         WITH {STORED}
@@ -358,6 +372,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, array_to_string(terms, '|') AS terms FROM termed""",
     "vocab_top": f"WITH {DOC_VOCABULARY} {INDEXED}",
     "idf_table": f"WITH {DOC_VOCABULARY} SELECT term, df, round(idf, 6) AS idf FROM vocabulary",
+    "vocab_refit": f"WITH {DOC_VOCABULARY} SELECT term, tf, df, round(idf, 6) AS idf FROM vocabulary",
     "benchmark_vocab": f"WITH {_vocabulary('benchmark', 'item_id', 'text')} {INDEXED}",
     "tfidf_long": CELLS,
     "tfidf_reloaded": CELLS,
@@ -406,3 +421,6 @@ ORACLES: dict[str, str] = {
                round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM stored), 6)
         FROM stored GROUP BY "Target_Tier" """,
 }
+
+# The audit does not depend on what counts it.
+ORACLES["label_job_audit"] = ORACLES["stream_audit"] = ORACLES["drop_audit"]

@@ -22,10 +22,13 @@ from promptweave.operators.describe import describe
 from promptweave.operators.features import with_text_features
 from promptweave.operators.partitioning import spread
 from promptweave.operators.row_ids import with_dense_id
+from promptweave.operators.term_state import TermState
 from promptweave.plans import jobs
 from promptweave.plans.reports import feature_report
 from promptweave.session import scratch_path
 from promptweave.sources import prompt_table, readers, writers
+from promptweave.sources.prompt_store import PromptStore
+from promptweave.streaming.labeling import battle_stream, label_stream
 from workload.battles import battles, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +269,69 @@ def append_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompt_table.read_prompts(spark, table).select("id", TIER_COL)
 
 
+def _in_thirds(df: DataFrame) -> list[DataFrame]:
+    return [df.where(F.col("battle_id") % 3 == k) for k in range(3)]
+
+
+def _store(spark: SparkSession, sf_dir: str, block_rows: int = 100) -> PromptStore:
+    """Three loads, of which one breaks off before its commit and one is tried twice."""
+    store = PromptStore(spark, scratch_path(spark, "store"), block_rows)
+    loads = _in_thirds(_labeled(spark, sf_dir))
+    store.load(loads[0], "battle_id", "load-0")
+    store.load(loads[0], "battle_id", "load-0")
+    store._write(loads[2], "battle_id", "load-1", store.loads().agg(F.sum("n")).first()[0])
+    store.load(loads[1], "battle_id", "load-1")
+    store.load(loads[2], "battle_id", "load-2")
+    return store
+
+
+def store_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt once under dense ids, whatever was tried twice or broke off."""
+    return _store(spark, sf_dir).prompts()
+
+
+def store_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of one tier, from the blocks of ids that hold them."""
+    head = _store(spark, sf_dir).head(50, "Tier_2_API")
+    return head.select("id", text_functions.preview("user_prompt").alias("preview"))
+
+
+def store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of ids across the bounds of loads and blocks."""
+    return _store(spark, sf_dir).prompts(first=90, last=310)
+
+
+def label_job_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit that the labelling job counts while it writes."""
+    raw, out = scratch_path(spark, "raw"), scratch_path(spark, "labeled")
+    battles(spark, sf_dir).write.parquet(raw)
+    _, audit = jobs.audited_label_job(spark, raw, out)
+    return audit.withColumns({"rule": F.col("rule").cast("long"), "dropped_pct": _six("dropped_pct")})
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> PromptStore:
+    """Battles that arrive in files, labelled and stored by a stream that is started again in between."""
+    landed, path = scratch_path(spark, "landed"), scratch_path(spark, "store")
+    store, rows = PromptStore(spark, path, 100), battles(spark, sf_dir)
+    for third in _in_thirds(rows):
+        third.repartition(3).write.mode("append").parquet(landed)
+        arriving = battle_stream(spark, landed, rows.schema, files_per_batch=2)
+        label_stream(arriving, store, f"{path}/stream").awaitTermination()
+    return store
+
+
+def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream has stored; ids follow the batches, which files make up."""
+    rows = _streamed(spark, sf_dir).prompts()
+    return rows.groupBy("user_prompt", TIER_COL).agg(F.count("*").alias("n"))
+
+
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running audit over all batches."""
+    audit = _streamed(spark, sf_dir).audit()
+    return audit.withColumns({"rule": F.col("rule").cast("long"), "dropped_pct": _six("dropped_pct")})
+
+
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", text_functions.preview("text").alias("preview"))
@@ -413,6 +479,19 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("term", "df", _six("idf").alias("idf"))
 
 
+def vocab_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary from stored counts of three loads of the documents, one of them loaded twice."""
+    state = TermState(spark, scratch_path(spark, "terms"))
+    docs = _documents(spark, sf_dir)
+    loads = [docs.where(F.col("doc_id") % 3 == k) for k in range(3)]
+    for name, load in (("first", loads[0]), ("second", loads[1]), ("second", loads[1])):
+        state.add(load, name, "text")
+    merged = state.compact(scratch_path(spark, "terms"))
+    merged.add(loads[2], "third", "text")
+    table = merged.fit(text_col="text").vocabulary_table(spark)
+    return table.select("term", "tf", "df", _six("idf").alias("idf"))
+
+
 def benchmark_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small corpus, where many terms tie at the cut."""
     table = _fit(spark, sf_dir, "benchmark").vocabulary_table(spark)
@@ -522,6 +601,12 @@ QUERIES: dict[str, Query] = {
     "fetch_head": fetch_head,
     "stored_summary": stored_summary,
     "append_load": append_load,
+    "store_loads": store_loads,
+    "store_head": store_head,
+    "store_range": store_range,
+    "label_job_audit": label_job_audit,
+    "stream_store": stream_store,
+    "stream_audit": stream_audit,
     "preview": preview,
     "documents_tier": documents_tier,
     "documents_all": documents_all,
@@ -544,6 +629,7 @@ QUERIES: dict[str, Query] = {
     "ngrams": _joined(term_functions.terms, "terms"),
     "vocab_top": vocab_top,
     "idf_table": idf_table,
+    "vocab_refit": vocab_refit,
     "benchmark_vocab": benchmark_vocab,
     "tfidf_long": tfidf_long,
     "tfidf_reloaded": tfidf_reloaded,
