@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promptweave.llm.common import read_table
 from promptweave.llm.decontaminate import drop_contaminated
@@ -14,6 +15,10 @@ from promptweave.llm.tokens import read_tokens, write_tokens
 from promptweave.session import scratch_path
 
 
+#: Column for the order of the token files; an input's column of that name is not asked for there.
+MIX_ORDER = "_mix_order"
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, does not reject."""
     return keep_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))
@@ -35,9 +40,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's ids are in the token files, with their checksum."""
+    """Where each document's ids are in the token files, with their checksum.
+
+    The files hold the mixture in random order, copies of a document apart.
+    """
     folder = scratch_path(spark, "corpus-tokens")
-    return read_tokens(spark, folder, write_tokens(docs, folder, TOKENIZER))
+    shuffled = docs.withColumn(MIX_ORDER, F.xxhash64(F.monotonically_increasing_id(), "doc_id"))
+    return read_tokens(spark, folder, write_tokens(shuffled, folder, TOKENIZER, order=[MIX_ORDER]))
 
 
 STAGES = [

@@ -221,6 +221,14 @@ def fingerprint_links(groups: DataFrame, n_groups: int) -> DataFrame:
     return routed.groupBy("shard").applyInPandas(_links_of_shard, "u long, v long")
 
 
+def _rooted(prints: DataFrame, smallest: dict[str, Column]) -> DataFrame:
+    """Per distinct fingerprint ``fp`` of stored rows its component's ``root`` and aggregates of its rows."""
+    groups = stored(prints.groupBy("fp").agg(*[c.alias(name) for name, c in smallest.items()]))
+    roots = connected_components(fingerprint_links(groups, groups.count()))
+    joined = groups.join(roots, groups["fp"] == roots["node"], "left")
+    return joined.select("fp", *smallest, F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
 
@@ -231,11 +239,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     and are compared once, however many they are.
     """
     prints = stored(docs.select("doc_id", simhash_of("text").alias("fp")))
-    groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(fingerprint_links(groups, groups.count()))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(prints, {"first_id": F.min("doc_id")})
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     components = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(components, "fp").select(
@@ -244,12 +248,20 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with the columns of ``docs``.
+    """One row of each component, with the columns of ``docs``.
 
-    Rows that share a doc_id are one document: the first by text stays.
+    It is the one with the smallest doc_id, null ids last, and among rows of one id the
+    one whose text has the smallest digest. Unlike texts stay, whether they share a
+    doc_id or have none.
     """
-    components = simhash_components(docs)
-    kept = components.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = stored(kept).withColumnRenamed("doc_id", "_kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return first_rows(rows, ["doc_id"], [F.xxhash64("text"), F.col("text")])
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    prints = stored(docs.select("doc_id", digest.alias("digest"), simhash_of("text").alias("fp")))
+    rooted = _rooted(prints, {"first": F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest"))})
+    kept = stored(rooted.groupBy("root").agg(F.min("first").alias("first")))
+    left, right = docs.select(F.struct("*").alias("row"), "doc_id", digest.alias("digest")), kept.select(
+        F.col("first.doc_id").alias("kept_id"), F.col("first.digest").alias("digest")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (left["digest"] == right["digest"])
+    # What is left of a component are copies of its row.
+    rows = first_rows(left.join(right, same, "left_semi"), ["doc_id", "digest"], [F.col("row.text")])
+    return rows.select("row.*")

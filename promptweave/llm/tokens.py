@@ -3,16 +3,15 @@
 A folder holds, for each range of doc_ids, three files: ``.bin`` (ids as
 little-endian unsigned integers, nothing else), ``.off`` (64-bit offsets of the
 documents within the file, one more than documents) and ``.ids`` (64-bit
-doc_ids). ``manifest`` rows give each file's first position in the whole, from
+doc_ids); one with null doc_ids has their places in ``.nul``. ``manifest`` rows give each file's first position in the whole, from
 prefix sums over the files; a document starts at that plus its offset.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 END_ID = 2
 CACHED_CHUNKS = 500_000
 MANIFEST = "part int, name string, docs long, nulls long, ids long, width int"
-_blanks = re.compile(r"[ \n\t\r]+")
 
 
 class _Cache(dict):
@@ -89,7 +87,8 @@ class ChunkEncoder:
         """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
         self.known.tidy()
         known = self.known.__getitem__
-        return [b"".join(map(known, _blanks.split(t))) for t in texts]
+        spaced = (t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts)
+        return [b"".join(map(known, t.split(" "))) for t in spaced]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -116,24 +115,31 @@ def _writer(folder: str, tokenizer: str, end_id: int) -> Callable:
         # Each attempt has names of its own; only those of the one that ends well get listed.
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
-        offsets, doc_ids, at, nulls, out = [0], [], 0, 0, None
+        docs, at, nulls, out = 0, 0, 0, {}
         for ids, texts in _blocks(batches):
-            if out is None:
+            if not out:
                 system.create_dir(root, recursive=True)
-                out = system.open_output_stream(f"{root}/{name}.bin")
-            for doc_id, data in zip(ids, encoder.encode(texts), strict=True):
-                out.write(data + end)
-                at += len(data) // encoder.width + 1
-                offsets.append(at)
-                doc_ids.append(doc_id or 0)
-                nulls += doc_id is None
-        if out is None:
+                out = {s: system.open_output_stream(f"{root}/{name}.{s}") for s in ("bin", "off", "ids")}
+                out["off"].write(np.zeros(1, "<i8").tobytes())
+            encoded = encoder.encode(texts)
+            for data in encoded:
+                out["bin"].write(data + end)
+            ends = at + np.cumsum([len(data) // encoder.width + 1 for data in encoded])
+            at = int(ends[-1])
+            out["off"].write(ends.astype("<i8").tobytes())
+            out["ids"].write(np.array([d or 0 for d in ids], "<i8").tobytes())
+            missing = [docs + i for i, d in enumerate(ids) if d is None]
+            if missing:
+                if "nul" not in out:
+                    out["nul"] = system.open_output_stream(f"{root}/{name}.nul")
+                out["nul"].write(np.array(missing, "<i8").tobytes())
+            nulls += len(missing)
+            docs += len(ids)
+        if not out:
             return
-        out.close()
-        for suffix, values in (("off", offsets), ("ids", doc_ids)):
-            with system.open_output_stream(f"{root}/{name}.{suffix}") as side:
-                side.write(np.array(values, "<i8").tobytes())
-        row = [task.partitionId(), name, len(doc_ids), nulls, at, encoder.width]
+        for stream in out.values():
+            stream.close()
+        row = [task.partitionId(), name, docs, nulls, at, encoder.width]
         fields = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         names = [f.split()[0] for f in MANIFEST.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array([v], f) for v, f in zip(row, fields, strict=True)], names)
@@ -142,21 +148,27 @@ def _writer(folder: str, tokenizer: str, end_id: int) -> Callable:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    partitions: int | None = None,
+    order: Sequence[str] = ("doc_id",),
 ) -> list[dict]:
-    """Write ``docs`` in ascending doc_id order to a folder all executors share; returns the manifest.
+    """Write ``docs`` in the order of some columns to a folder all executors share; returns the manifest.
 
-    A null or empty text is the end id alone. Null doc_ids come first; rows that
-    share a doc_id follow each other, ordered by a hash of their text. Ranges of
-    doc_ids are written side by side; one row per range reaches the driver.
+    A null or empty text is the end id alone. Nulls come first in the order; rows
+    equal in it follow each other by a hash of doc_id and text, which also splits very
+    many of them over ranges, copies by their places. Ranges are written side by side,
+    a block of rows at a time; one row per range reaches the driver.
     """
     count = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(count, "doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
-    rows = ordered.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST).collect()
+    keys = [F.col(c).alias(f"key{i}") for i, c in enumerate(order)]
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *keys)
+    placed = given.withColumns({"tie": F.xxhash64("doc_id", "text"), "place": F.monotonically_increasing_id()})
+    by = [f"key{i}" for i in range(len(keys))] + ["tie", "place"]
+    ordered = placed.repartitionByRange(count, *by).sortWithinPartitions(*by)
+    rows = ordered.select("doc_id", "text").mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST).collect()
     manifest = [r.asDict() for r in sorted(rows)]
     starts = accumulate((m["ids"] for m in manifest), initial=0)
     manifest = [m | {"base": base} for m, base in zip(manifest, starts, strict=False)]
@@ -184,11 +196,12 @@ def _reader(folder: str, length: int) -> Callable:
                 ids = _mapped(folder, f"{m['name']}.bin", f"<u{m['width']}")
                 offsets = _mapped(folder, f"{m['name']}.off", "<i8")
                 doc_ids = _mapped(folder, f"{m['name']}.ids", "<i8")
+                nulls = _mapped(folder, f"{m['name']}.nul", "<i8") if m["nulls"] else np.empty(0, np.int64)
                 for first in range(0, m["docs"], length):
                     last = min(first + length, m["docs"])
                     bounds = np.asarray(offsets[first : last + 1])
                     sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
-                    null = np.arange(first, last) < m["nulls"]
+                    null = np.isin(np.arange(first, last), nulls)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.asarray(doc_ids[first:last]), pa.int64(), mask=null),

@@ -330,6 +330,18 @@ def test_tokens(spark, docs, none):
     assert [r[0] for r in found] == [d for d, _ in plain]
     assert sum(m["docs"] for m in manifest) == len(ROWS)
     folder = scratch_path(spark, "tokens")
+    by_source = docs.withColumn("key", F.coalesce("source", F.lit("z")))
+    found = read_tokens(spark, folder, write_tokens(by_source, folder, TOKENIZER, partitions=3, order=["key", "n_chars"]))
+    found = sorted((tuple(r) for r in found.collect()), key=lambda r: r[1])
+    assert sorted((r[0] or 0, *r[2:]) for r in found) == sorted((plain[r[0]][0] or 0, *r[2:]) for r in expected)
+    assert [r[0] for r in found][-1] == 2 and found[-2][0] is None
+    assert [r[1] for r in found] == [0, *np.cumsum([r[2] for r in found])[:-1]]
+    hot = frame(spark, [(None, "the same text")] * 2000 + [(7, f"text {i}") for i in range(50)]).repartition(4)
+    folder = scratch_path(spark, "tokens")
+    manifest = write_tokens(hot, folder, TOKENIZER, partitions=8)
+    assert max(m["docs"] for m in manifest) < 700
+    assert [r["doc_id"] for r in read_tokens(spark, folder).orderBy("start").collect()] == [None] * 2000 + [7] * 50
+    folder = scratch_path(spark, "tokens")
     assert read_tokens(spark, folder, write_tokens(none, folder, TOKENIZER)).collect() == []
 
 
@@ -445,6 +457,16 @@ def test_simhash(docs, none):
     assert keep_one_per_component(none).collect() == []
 
 
+def test_unlike_texts_stay_under_any_id(spark):
+    """Null ids and shared ids are no reason to drop a text; copies of the kept row are."""
+    words = [" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "green", "blue", "grey", "pink")]
+    rows = [(None, words[0]), (None, words[1]), (None, words[2]), (5, words[3]), (5, words[4])]
+    rows += [(5, words[3]), (None, words[0]), (9, words[0]), (9, words[0]), (3, words[1])]
+    kept = keep_one_per_component(frame(spark, rows).repartition(3)).collect()
+    found = sorted(((r["doc_id"], r["text"]) for r in kept), key=str)
+    assert found == sorted([(9, words[0]), (3, words[1]), (None, words[2]), (5, words[3]), (5, words[4])], key=str)
+
+
 def test_links_of_crowds():
     """Vantage points, plain comparison and bit flips connect what all pairs connect."""
     rng = np.random.default_rng(5)
