@@ -11,21 +11,25 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from os.path import commonprefix
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptweave.llm.common import in_order
+from promptweave.llm.common import stored
 
 # Elements and class names.
-RAW = "script|style|noscript|template|title|textarea|iframe|svg|object|math|head"
+RAW = "script|style|noscript|template|title|textarea|iframe"
+CODE = {"script", "style", "title"}
 CHROME = set("nav footer aside form menu dialog button select fieldset".split())
 BLOCKS = set(
     "html body main article section header nav footer aside form menu dialog fieldset div p h1 h2 h3 h4 h5 h6 ul ol li "
@@ -40,14 +44,18 @@ CHROME_CLASSES = set(
     "signup login search toolbar pagination pager copyright".split()
 )
 GENERIC_CLASSES = {"site", "page", "global", "top", "bottom", "main", "left", "right"}
+# Inside an article a name counts if each of its parts is of these or generic; the first are needed.
+ARTICLE_CHROME = CHROME_CLASSES - set("header aside notice notices alert banner search toolbar menu comment copyright".split())
+ARTICLE_PARTS = set("bar block box button buttons container form icons item items label link links list section widget wrapper".split())
 CONTENT, UNKNOWN = 1, 0
 DENSE_BITS = 1 << 30
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+_CLOSERS = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
@@ -57,7 +65,11 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     for found in _NAMES.findall(attributes) if attributes else ():
         for name in " ".join(found).lower().split():
             parts = [p for p in re.split("[-_]", name) if p not in GENERIC_CLASSES]
-            if parts and parts[0] in CHROME_CLASSES:
+            if not parts:
+                continue
+            if not in_article and parts[0] in CHROME_CLASSES:
+                return True
+            if in_article and parts[0] in ARTICLE_CHROME and all(p in ARTICLE_CHROME | ARTICLE_PARTS for p in parts):
                 return True
     return False
 
@@ -66,7 +78,8 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     """Text lines of a page in order, with ``CONTENT`` for those in an article, else ``UNKNOWN``.
 
     Each block is a line, its white space single blanks. Elements that are left
-    open end with the block around them.
+    open end with the block around them; scripts, frames and the like that are never
+    closed go up to the next tag if they hold code, else with their tag alone.
     """
     lines: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []
@@ -80,11 +93,22 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             if line and not (stack and stack[-1][1]):
                 lines.append((line, CONTENT if stack and stack[-1][2] else UNKNOWN))
 
-    at = 0
-    for token in _TOKEN.finditer(html):
+    at, never = 0, set()
+    while token := _TOKEN.search(html, at):
         if token.start() > at:
             pieces.append(html[at : token.start()])
         at = token.end()
+        raw = (token["raw"] or "").lower()
+        if raw:
+            closer = None if raw in never else _CLOSERS[raw].search(html, at)
+            if closer:
+                at = closer.end()
+                continue
+            never.add(raw)
+            if raw in CODE:
+                follows = html.find("<", at)
+                at = follows if follows >= 0 else len(html)
+            continue
         tag = (token["tag"] or "").lower()
         if tag == "br":
             pieces.append(" ")
@@ -178,37 +202,60 @@ def _aligned(a: Sequence[int], b: Sequence[int]) -> list[int]:
     return found[::-1]
 
 
-_PARSED = "page_id long, url string, host string, path string, lines array<string>, roles array<int>, marks array<long>"
+_KEYS = "host string, path string, digest long"
+_PACKED = f"page_id long, url string, {_KEYS}, packed binary, roles string"
+_MARKS = "digest long, marks array<long>"
+_ROWS = 256
+
+
+def _marks(lines: Sequence[str]) -> list[int]:
+    return [xxhash.xxh64_intdigest(t) - (1 << 63) for t in lines]
+
+
+def _parsed(pages: DataFrame, schema: str) -> DataFrame:
+    """What is asked for of every page that has lines, or of every page if its text is."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = {
+        "page_id": pa.int64(), "digest": pa.int64(), "marks": pa.list_(pa.int64()), "packed": pa.binary(),
+    }
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(begin, _ROWS)
+                rows = []
+                for page_id, url, html in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    found = page_lines(html)
+                    if not found and "packed" not in names:
+                        continue
+                    lines = [t for t, _ in found]
+                    marks = _marks(lines)
+                    host, path = host_and_path(url)
+                    row = {"page_id": page_id, "url": url, "host": host, "path": path, "marks": marks}
+                    row["digest"] = xxhash.xxh64_intdigest(np.array(marks, np.int64).tobytes()) - (1 << 63)
+                    if "packed" in names:
+                        row["packed"] = zlib.compress("\n".join(lines).encode("utf-8", "replace"))
+                        row["roles"] = "".join(str(r) for _, r in found)
+                    rows.append([row[n] for n in names])
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                arrays = [pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    given = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string"), F.col("html").cast("string")
+    )
+    return given.mapInArrow(parse, schema)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, numbers, longs = pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), words, numbers, longs]
-    names = [f.split()[0] for f in _PARSED.split(", ")]
-    for batch in batches:
-        for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            urls = part.column(1).to_pylist()
-            rows = []
-            for page_id, url, html in zip(part.column(0).to_pylist(), urls, part.column(2).to_pylist(), strict=True):
-                lines = page_lines(html)
-                marks = [xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in lines]
-                rows.append((page_id, url, *host_and_path(url), [t for t, _ in lines], [r for _, r in lines], marks))
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-
-def assemble(
-    lines: Sequence[str], roles: Sequence[int], marks: Sequence[int], nearest: Sequence[int] | None
-) -> str:
-    """The lines that the nearest page does not share, and those of an article.
+def assemble(lines: Sequence[str], roles: Sequence[int], nearest: Sequence[int] | None) -> str:
+    """The lines that the nearest page, given by its marks, does not share, and those of an article.
 
     With no page to compare with, an article's lines, or without one all.
     """
     if nearest is None:
         kept = [t for t, role in zip(lines, roles, strict=True) if role == CONTENT] or lines
     elif UNKNOWN in roles:
-        shared = common_lines(list(marks), list(nearest))
+        shared = common_lines(_marks(lines), list(nearest))
         kept = [t for i, (t, role) in enumerate(zip(lines, roles, strict=True)) if role == CONTENT or i not in shared]
     else:
         kept = lines
@@ -216,43 +263,109 @@ def assemble(
 
 
 @F.pandas_udf(T.StringType())
-def _assembled(
-    path: pd.Series, lines: pd.Series, roles: pd.Series, marks: pd.Series,
-    before: pd.Series, before_marks: pd.Series, after: pd.Series, after_marks: pd.Series,
-) -> pd.Series:
+def _assembled(packed: pd.Series, roles: pd.Series, nearest: pd.Series) -> pd.Series:
     texts = []
-    for p, ls, rs, ms, b, bm, a, am in zip(
-        path, lines, roles, marks, before, before_marks, after, after_marks, strict=True
-    ):
-        near = [(len(commonprefix([p, other])), m) for other, m in ((b, bm), (a, am)) if other is not None]
-        texts.append(assemble(ls, rs, ms, max(near, key=lambda x: x[0])[1] if near else None))
+    for data, signs, near in zip(packed, roles, nearest, strict=True):
+        lines = zlib.decompress(data).decode().split("\n") if signs else []
+        texts.append(assemble(lines, [int(r) for r in signs], near))
     return pd.Series(texts, dtype=object)
 
 
-def _neighbours(paths: DataFrame) -> DataFrame:
-    """Add ``before`` and ``after``: path and marks of the nearest rows of the host with another digest.
+#: A page's place among the others: host and path, and the digest of its lines.
+_Place = tuple[str, str, int]
+
+
+def _alike(a: _Place, b: _Place) -> bool:
+    return a[0] == b[0] and a[2] == b[2]
 
-    Rows in the order of ``host, path, digest`` that follow each other with one
-    digest are a run. Its first and last rows are ranked among their like, which
-    numbers the runs, so the rows sought are the ends of the runs beside it.
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range its ends, and next to each the first place that is not like it."""
+    first = after = last = before = None
+    for batch in batches:
+        for place in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            first = first or place
+            if after is None and not _alike(place, first):
+                after = place
+            if last and not _alike(place, last):
+                before = last
+            last = place
+    if first:
+        found = [(kind, *p) for kind, p in enumerate((first, after, last, before)) if p]
+        part = TaskContext.get().partitionId()
+        columns = [[part] * len(found), *zip(*found, strict=True)]
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+        names = ["part", "kind", "host", "path", "digest"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _guests(ends: list[tuple[int, dict[int, _Place]]], near: int, far: int, beyond: int) -> dict[int, _Place | None]:
+    """For every range the closest place outside of it that is not like its own end.
+
+    ``ends`` are in walking order. ``near`` is the end of a range that is reached first,
+    ``far`` the other one and ``beyond`` the last place of the range that is not like that.
     """
-    keys = ["host", "path", "digest"]
-    placed = in_order(paths, keys)
+    found: dict[int, _Place | None] = {}
+    last = other = None
+    for part, places in ends:
+        found[part] = other if last and _alike(last, places[near]) else last
+        if beyond in places:
+            other = places[beyond]
+        elif last is None or not _alike(last, places[far]):
+            other = last
+        last = places[far]
+    return found
+
+
+def _beside(before: dict[int, _Place | None], after: dict[int, _Place | None]):
+    """Sorted places with the digest of the nearest one on the host that has other lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        earlier, alike, out = before.get(part), [], []
+
+        def settle(later: _Place | None) -> None:
+            """Rows of a run of one digest look at the places on its two sides."""
+            for place in alike:
+                beside = [p for p in (earlier, later) if p and p[0] == place[0]]
+                nearest = max(beside, key=lambda p, own=place[1]: len(commonprefix([own, p[1]])), default=None)
+                out.append((*place, nearest[2] if nearest else None))
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "path", "digest", "near"])
+
+        for batch in batches:
+            for place in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if alike and not _alike(place, alike[-1]):
+                    settle(place)
+                    earlier, alike = alike[-1], []
+                alike.append(place)
+            yield batch_of()
+        if alike:
+            settle(after.get(part))
+        yield batch_of()
+
+    return run
+
 
-    def ends(step: int, end: str, other: str) -> DataFrame:
-        beside = placed.select((F.col("_rank") + step).alias("_rank"), F.struct("host", "digest").alias("_beside"))
-        at_end = placed.join(beside, "_rank", "left").where(~F.struct("host", "digest").eqNullSafe(F.col("_beside")))
-        ranked = in_order(at_end.select(*keys, "marks", F.col("_rank").alias(end)), keys, "_run")
-        near = F.struct("host", "path", "marks").alias(other)
-        return ranked.select("_run", end, near)
+def _neighbours(paths: DataFrame) -> DataFrame:
+    """Add ``near``: the digest of the nearest page of the host with other lines.
 
-    first, last = ends(1, "_first", "after"), ends(-1, "_last", "before")
-    runs = first.select("_run", "_first", F.col("after.host").alias("_host")).join(last.select("_run", "_last"), "_run")
-    runs = runs.join(last.select((F.col("_run") + 1).alias("_run"), "before"), "_run", "left")
-    runs = runs.join(first.select((F.col("_run") - 1).alias("_run"), "after"), "_run", "left")
-    own = [F.when(F.col(f"{n}.host") == F.col("_host"), F.col(n)).alias(n) for n in ("before", "after")]
-    ranks = runs.select(F.explode(F.sequence("_first", "_last")).alias("_rank"), *own)
-    return placed.select(*keys, "_rank").join(ranks, "_rank").drop("_rank")
+    Narrow rows are sorted by host, path and digest over all executors and stored.
+    Those next to each other with one digest are a run; its rows look at the places in
+    front of it and behind it. Four rows per range reach the driver, which hands every
+    range the two places beyond its ends.
+    """
+    ordered = stored(paths.orderBy("host", "path", "digest"))
+    ends: dict[int, dict[int, _Place]] = {}
+    for r in ordered.mapInArrow(_edges, f"part int, kind int, {_KEYS}").collect():
+        ends.setdefault(r["part"], {})[r["kind"]] = (r["host"], r["path"], r["digest"])
+    in_order = sorted(ends.items())
+    before, after = _guests(in_order, 0, 2, 3), _guests(in_order[::-1], 2, 0, 1)
+    return ordered.mapInArrow(_beside(before, after), f"{_KEYS}, near long")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -265,12 +378,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     lines, there is nothing to compare with. A null or empty html has an empty
     text; a null url has an empty host.
     """
-    parsed = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string"), F.col("html").cast("string")
-    ).mapInArrow(_parse, _PARSED).withColumn("digest", F.xxhash64("marks"))
-    keys = ["host", "path", "digest"]
-    paths = parsed.where(F.size("marks") > 0).groupBy(*keys).agg(F.first("marks").alias("marks"))
-    whole = parsed.join(_neighbours(paths), keys, "left")
-    near = [F.col(f"{name}.{field}") for name in ("before", "after") for field in ("path", "marks")]
-    text = _assembled("path", "lines", "roles", "marks", *near)
+    keys = F.unhex(F.md5(F.concat_ws("\0", "host", "path", "digest").cast("binary"))).alias("key")
+    near = _neighbours(_parsed(pages, _KEYS).distinct()).where("near IS NOT NULL").select(keys, "near")
+    marks = _parsed(pages, _MARKS).groupBy(F.col("digest").alias("near")).agg(F.first("marks").alias("marks"))
+    compared = near.join(marks, "near").select("key", "marks")
+    whole = _parsed(pages, _PACKED).select("page_id", "url", keys, "packed", "roles").join(compared, "key", "left")
+    text = _assembled("packed", "roles", "marks")
     return whole.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from os.path import commonprefix
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from promptweave.llm import repeats as repeats_module
 from promptweave.llm import simhash as simhash_module
 from promptweave.llm.common import connected_components, in_order, join_checked
 from promptweave.llm.decontaminate import cut_contaminated, decontamination_report, drop_contaminated
-from promptweave.llm.main_text import main_text, page_lines
+from promptweave.llm.main_text import _neighbours, main_text, page_lines
 from promptweave.llm.mixing import mix_sources, repetition_rates
 from promptweave.llm.order_minhash import fingerprints, with_next
 from promptweave.llm.pii import pii_report, sanitise
@@ -334,7 +335,7 @@ def test_tokens(spark, docs, none):
     found = read_tokens(spark, folder, write_tokens(by_source, folder, TOKENIZER, partitions=3, order=["key", "n_chars"]))
     found = sorted((tuple(r) for r in found.collect()), key=lambda r: r[1])
     assert sorted((r[0] or 0, *r[2:]) for r in found) == sorted((plain[r[0]][0] or 0, *r[2:]) for r in expected)
-    assert [r[0] for r in found][-1] == 2 and found[-2][0] is None
+    assert found[-1][0] is None and found[-2][0] == 2
     assert [r[1] for r in found] == [0, *np.cumsum([r[2] for r in found])[:-1]]
     hot = frame(spark, [(None, "the same text")] * 2000 + [(7, f"text {i}") for i in range(50)]).repartition(4)
     folder = scratch_path(spark, "tokens")
@@ -369,6 +370,48 @@ def test_lines_of_a_page():
     assert [t for t, _ in page_lines("plain <i>te</i>xt &lt;p&gt; <p")] == ["plain text <p> <p"]
 
 
+@pytest.mark.parametrize(
+    "html,lines",
+    [
+        ("<html><head><title>t</title><body><article><p>one<p>two", ["one", "two"]),
+        ("<head><meta x><link y><body><p>one", ["one"]),
+        ("<article><p>one<iframe src=x> two<p>three</article>", ["one two", "three"]),
+        ("<article><p>one<iframe src=x>no</iframe> two", ["one two"]),
+        ("<article><p>where <math><mi>x</mi></math> is <svg><text>real</text></svg> <object>now</object>", ["where x is real now"]),
+        ('<article><section id="related-work"><p>a</section><p class="share-price">b<div class="search">c</div>', ["a", "b", "c"]),
+        ('<article><p>a<div class="share-buttons">no</div><div class="related">no</div><div class="ad-box">no</div><p>b', ["a", "b"]),
+        ("<article><p>one<script>var x = 1; <p>two</article>", ["one", "two"]),
+        ("<title>t<p>one<title>u</title><p>two", ["two"]),
+        ("<article><p>a<template>no</template>b<noscript>no</noscript>c<textarea>no", ["abcno"]),
+    ],
+)
+def test_no_text_is_lost(html, lines):
+    assert [t for t, _ in page_lines(html)] == lines
+
+
+def test_many_open_elements():
+    assert len(page_lines("<article>" + "<iframe><p>a" * 20_000)) == 20_000
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_neighbours_over_ranges(spark, partitions):
+    """Runs of one digest that end within, at and beyond the bounds of ranges."""
+    rng = np.random.default_rng(partitions)
+    rows = [(h, f"/{p:03d}", int(d)) for h in "abc" for p, d in enumerate(np.repeat(rng.integers(0, 3, 14), rng.integers(1, 9, 14)))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = {tuple(r)[:3]: r["near"] for r in _neighbours(spark.createDataFrame(rows, "host string, path string, digest long")).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for i, (host, path, digest) in enumerate(rows):
+        earlier = next((r for r in rows[:i][::-1] if r[0] != host or r[2] != digest), None)
+        later = next((r for r in rows[i + 1 :] if r[0] != host or r[2] != digest), None)
+        beside = [r for r in (earlier, later) if r and r[0] == host]
+        best = max(beside, key=lambda r: len(commonprefix([path, r[1]])), default=None)
+        assert found[host, path, digest] == (best and best[2]), (host, path)
+
+
 def test_main_text(spark):
     page = "<div>Shared top</div><div>Only {0}</div><div>Shared end</div>"
     rows = [
