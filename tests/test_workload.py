@@ -16,12 +16,16 @@ def con():
     return duck(SMALL)
 
 
+#: Models that SQL cannot fit; tests of their own hold their figures.
+NO_SQL = {"language_classifier"}
+
+
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - NO_SQL == set(ORACLES)
     assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, con, name):
     assert differences(spark, con, SMALL, name) == []
 

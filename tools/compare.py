@@ -53,7 +53,7 @@ def differences(spark: SparkSession, con, sf_dir: str, name: str) -> list[str]:
 
 def main() -> int:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(QUERIES)
+    names = sys.argv[2:] or list(ORACLES)
     spark = local_session("compare", **{"spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = duck(sf_dir), 0

@@ -408,6 +408,22 @@ ORACLES: dict[str, str] = {
                round(coalesce(norm, 0), 6) AS tfidf_norm,
                "Target_Tier"
         FROM features f JOIN stored USING (id) LEFT JOIN shape USING (id)""",
+    "class_report": """
+        WITH ruled AS (
+            SELECT lang AS label, CASE WHEN contains(text, ' the ') THEN 'en' WHEN contains(text, ' der ') THEN 'de'
+                                       ELSE 'other' END AS guess
+            FROM documents WHERE ('0x' || substr(md5(coalesce(text, '')), 1, 4))::BIGINT % 10 < 2
+        ), labels_seen AS (
+            SELECT label FROM ruled UNION SELECT guess FROM ruled
+        ), counts AS (
+            SELECT l.label, (SELECT count(*) FROM ruled r WHERE r.label = l.label) AS "rows",
+                   (SELECT count(*) FROM ruled r WHERE r.guess = l.label) AS predicted,
+                   (SELECT count(*) FROM ruled r WHERE r.label = l.label AND r.guess = l.label) AS hits
+            FROM labels_seen l
+        )
+        SELECT *, round(hits / nullif(predicted, 0), 6) AS "precision", round(hits / nullif("rows", 0), 6) AS recall,
+               round(2.0::DOUBLE * hits / ("rows" + predicted), 6) AS f1
+        FROM counts""",
     "feature_report": f"""
         WITH {STORED}, {_vocabulary("stored", "id", "user_prompt")},
         width AS (SELECT count(*) AS n FROM vocabulary)

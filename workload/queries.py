@@ -23,7 +23,7 @@ from promptweave.operators.features import with_text_features
 from promptweave.operators.partitioning import spread
 from promptweave.operators.row_ids import with_dense_id
 from promptweave.operators.term_state import TermState
-from promptweave.plans import jobs
+from promptweave.plans import classifier, jobs
 from promptweave.plans.reports import feature_report
 from promptweave.session import scratch_path
 from promptweave.sources import prompt_table, readers, writers
@@ -565,6 +565,29 @@ def feature_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as prompts, their language as the tier."""
+    docs = read_table(spark, sf_dir, "documents")
+    return spread(docs.select("doc_id", F.col("text").alias("user_prompt"), F.col("lang").alias(TIER_COL)))
+
+
+def language_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out figures of a classifier that tells languages by their words, rare ones weighing more."""
+    docs = _languages(spark, sf_dir)
+    model = tfidf.fit_tfidf(docs.where(~classifier.held_out()))
+    _, report = classifier.evaluate_tiers(docs, model)
+    return report.withColumns({c: _six(c) for c in ("precision", "recall", "f1")})
+
+
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same figures of a fixed rule over the held-out documents."""
+    unseen = _languages(spark, sf_dir).where(classifier.held_out())
+    rule = F.when(F.col("user_prompt").contains(" the "), "en").when(F.col("user_prompt").contains(" der "), "de")
+    ruled = unseen.withColumn("predicted_tier", rule.otherwise("other"))
+    report = classifier.class_report(classifier.confusion(ruled))
+    return report.withColumns({c: _six(c) for c in ("precision", "recall", "f1")})
+
+
 def feature_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labeled = spread(_labeled(spark, sf_dir))
     model = tfidf.fit_tfidf(labeled)
@@ -638,4 +661,6 @@ QUERIES: dict[str, Query] = {
     "feature_matrix": feature_matrix,
     "feature_csv": feature_csv,
     "feature_report": feature_report_query,
+    "language_classifier": language_classifier,
+    "class_report": class_report,
 }
