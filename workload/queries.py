@@ -17,7 +17,7 @@ from promptweave.functions import terms as term_functions
 from promptweave.functions import text as text_functions
 from promptweave.functions.constants import COMPLEX_KEYWORDS
 from promptweave.functions.conversation import first_messages
-from promptweave.operators import labeling, summaries, tfidf
+from promptweave.operators import labeling, reduction, summaries, tfidf
 from promptweave.operators.describe import describe
 from promptweave.operators.features import with_text_features
 from promptweave.operators.partitioning import spread
@@ -579,6 +579,29 @@ def language_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumns({c: _six(c) for c in ("precision", "recall", "f1")})
 
 
+def _term_space(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reduction.TermSpace]:
+    """Scored documents, written once as every pass reads them, and the space of their terms."""
+    path, model = scratch_path(spark, "scored"), _fit(spark, sf_dir)
+    model.transform(_documents(spark, sf_dir)).select("doc_id", model.out).write.parquet(path)
+    scored = spark.read.parquet(path)
+    return scored, reduction.fit_term_space(scored, model.out, len(model.terms), 20)
+
+
+def term_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Singular values of the documents' TF-IDF matrix and the share of it that they explain."""
+    _, space = _term_space(spark, sf_dir)
+    rows = [(i + 1, float(s), float(e)) for i, (s, e) in enumerate(zip(space.singular, space.shares))]
+    table = spark.createDataFrame(rows, "dimension long, singular double, share double")
+    return table.withColumns({"singular": F.round("singular", 4), "share": F.round("share", 4)})
+
+
+def document_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cluster in the reduced space."""
+    scored, space = _term_space(spark, sf_dir)
+    reduced = space.project(scored, "tfidf")
+    return reduction.with_cluster(reduced, reduction.fit_clusters(reduced, 8)).select("doc_id", "cluster")
+
+
 def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same figures of a fixed rule over the held-out documents."""
     unseen = _languages(spark, sf_dir).where(classifier.held_out())
@@ -663,4 +686,6 @@ QUERIES: dict[str, Query] = {
     "feature_report": feature_report_query,
     "language_classifier": language_classifier,
     "class_report": class_report,
+    "term_space": term_space,
+    "document_clusters": document_clusters,
 }
