@@ -28,7 +28,7 @@ KINDS = (*PATTERNS, "term")
 DISCLOSURE = 0.9
 SHORTEST_NUMBER = 10
 FREQUENT_TERMS = 100_000
-TERM = r"(?<![\p{L}\p{N}_%+@.-])\p{L}{2,40}(?!\.?[\p{L}\p{N}_%+@-])"
+TERM = r"(?<![\p{L}\p{N}_%+@.-])\p{L}++(?!\.?[\p{L}\p{N}_%+@-])"
 
 
 def _digits(value: Column) -> Column:

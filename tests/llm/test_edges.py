@@ -235,6 +235,18 @@ def test_disclosing_terms_are_generalised_or_removed(spark):
     assert text[100] == filler[0][1]
 
 
+def test_terms_of_any_length(spark):
+    """One letter, 41 letters, and a sentence in a script without blanks, each of one document only."""
+    long, sentence = "x" * 41, "文" * 30 + "書" * 30
+    rows = [(1, f"q and {long} with {sentence} of ann@mail.example.org.")]
+    rows += [(i, f"and with of the rest {'ab'[i % 2]}") for i in range(2, 60)]
+    found = {r["doc_id"]: r for r in pii_report(frame(spark, rows)).collect()}
+    text = rows[0][1]
+    terms = {s[5:] for s in found[1]["spans"].split(",") if s.startswith("term")}
+    wanted = {f"{text.index(w)}:{text.index(w) + len(w)}" for w in ("q", long, sentence)}
+    assert terms == wanted and found[1]["n_term"] == 3
+
+
 def test_terms_disclose_wherever_they_stand(spark):
     """A value that one or two documents hold, and a term far from it, more than once."""
     far = "the day goes on and on " * 10
