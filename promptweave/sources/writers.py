@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptweave.operators.row_ids import numbered
+from promptweave.sources.one_file import write_one_file
 
 CSV_FILE_BYTES = 128 << 20
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "encoding": "UTF-8",
+}
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -35,28 +44,26 @@ def write_csv(
     mode: str = "overwrite",
     file_bytes: int = CSV_FILE_BYTES,
     rows_per_file: int | None = None,
+    one_file: bool = False,
+    order: tuple[str | Column, ...] = (),
 ) -> None:
     """CSV with header, doubled quotes and untouched spaces, in files of about ``file_bytes`` at most.
 
     The writer splits by rows, so their mean size is taken first, in a pass over
-    ``df``; give ``rows_per_file`` to save that pass.
+    ``df``; give ``rows_per_file`` to save that pass. ``one_file`` makes one file of any
+    size, of rows sorted by ``order``, which many tasks write.
     """
     vectors = [f.name for f in df.schema if isinstance(f.dataType, VectorUDT)]
     if vectors:
         raise ValueError(f"vector columns {vectors} do not fit CSV; widen them first")
+    if order and not one_file:
+        raise ValueError("order needs one_file=True")
     flat = _flat(df)
+    if one_file:
+        write_one_file(flat, path, "csv", CSV_OPTIONS, mode, order)
+        return
     rows = rows_per_file or _rows_for(flat, file_bytes)
-    (
-        flat.write.mode(mode)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("encoding", "UTF-8")
-        .option("maxRecordsPerFile", rows)
-        .csv(path)
-    )
+    flat.write.mode(mode).options(**CSV_OPTIONS, maxRecordsPerFile=rows).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -384,7 +384,7 @@ def csv_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids in the order of one CSV file, whose rows have no key of their own."""
     path = scratch_path(spark, "documents")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    writers.write_csv(docs.coalesce(1).sortWithinPartitions(F.desc("doc_id")), path, file_bytes=1 << 40)
+    writers.write_csv(docs, path, one_file=True, order=(F.desc("doc_id"),))
     read = readers.read_csv(spark, path, docs.schema, split_above=0, place="place")
     return with_dense_id(read, "place").select("id", "doc_id", F.length("text").cast("long").alias("chars"))
 
