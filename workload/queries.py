@@ -27,6 +27,7 @@ from promptweave.plans import classifier, jobs
 from promptweave.plans.reports import feature_report
 from promptweave.session import scratch_path
 from promptweave.sources import prompt_table, readers, writers
+from promptweave.sources.one_file import write_one_file
 from promptweave.sources.prompt_store import PromptStore
 from promptweave.streaming.labeling import battle_stream, label_stream
 from workload.battles import battles, read_table
@@ -396,7 +397,7 @@ def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     opening = F.when(F.col("doc_id") == 0, "[").otherwise(",")
     lines = docs.select("doc_id", F.concat(opening, F.to_json(F.struct("*"))).alias("line"))
     ending = spark.range(1).select(F.lit((1 << 63) - 1).alias("doc_id"), F.lit("]").alias("line"))
-    lines.union(ending).coalesce(1).sortWithinPartitions("doc_id").select("line").write.text(path)
+    write_one_file(lines.union(ending), path, "text", {}, order=("doc_id",), columns=("line",))
     return readers.read_documents(spark, path, single_array=True)
 
 
