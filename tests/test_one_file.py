@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptweave.sources import readers, writers
 from promptweave.sources.one_file import write_one_file
-from workload.queries import csv_file_order, json_array_file
+from workload.queries import csv_file_order, csv_one_file, json_array_file
 
 
 def rows_of(spark, n=200, parts=7):
@@ -56,7 +56,7 @@ def test_lines(spark, tmp_path):
     assert file.read_text() == "".join(f"line {i}\n" for i in range(1000))
 
 
-@pytest.mark.parametrize("query", [csv_file_order, json_array_file])
+@pytest.mark.parametrize("query", [csv_file_order, csv_one_file, json_array_file])
 def test_no_task_reads_all(spark, tmp_path, monkeypatch, query):
     """The tasks that write the one file of a query each read a part of the rows."""
     n = 4000

@@ -377,7 +377,7 @@ def csv_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages, which hold quotes and line ends, from one file that many tasks read."""
     path = scratch_path(spark, "pages")
     pages = read_table(spark, sf_dir, "pages")
-    writers.write_csv(pages.coalesce(1), path, file_bytes=1 << 40)
+    writers.write_csv(pages, path, one_file=True)
     return readers.read_csv(spark, path, pages.schema, split_above=0)
 
 
