@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,40 @@ def test_vocabulary_table(spark):
     assert [r["idx"] for r in table] == list(range(len(table)))
     apple = next(r for r in table if r["term"] == "apple")
     assert (apple["tf"], apple["df"], apple["idf"]) == (2, 2, 1.0)
+
+
+def counted_in_blocks(texts, pairs, first=None, second=None):
+    words = [[w for w in terms_of(t) if " " not in w] for t in texts]
+    arrays = [pa.array(w, pa.string()) if w is not None else None for w in (first, second)]
+    tf, df, sizes = Counter(), Counter(), []
+    for block in tfidf._blocks(pa.array(words, pa.list_(pa.string()))):
+        sizes.append(len(block.flatten()))
+        for batch in tfidf._block_counts(block, pairs, *arrays):
+            for r in batch.to_pylist():
+                tf[r["term"]] += r["tf"]
+                df[r["term"]] += r["df"]
+    return tf, df, sizes
+
+
+@pytest.mark.parametrize("size", [1, 9, 1 << 20])
+def test_counts_of_blocks_add_up(monkeypatch, size):
+    texts = corpus(150, 12)
+    monkeypatch.setattr(tfidf, "BLOCK_WORDS", size)
+    tf, df, sizes = counted_in_blocks(texts, True)
+    counted = [Counter(terms_of(t)) for t in texts]
+    assert tf == sum(counted, Counter())
+    assert df == sum((Counter(c.keys()) for c in counted), Counter())
+    assert (len(sizes) > 1) == (size < 1 << 20)
+    some, _, _ = counted_in_blocks(texts, True, ["w1", "w2"], ["w3"])
+    assert some == {t: n for t, n in tf.items() if t.split()[0] in ("w1", "w2") and t.split()[1:] in ([], ["w3"])}
+
+
+def test_pairs_end_with_words_that_are_as_frequent(spark, monkeypatch):
+    """A rare word after a frequent one makes no pair that the second pass has to count."""
+    texts = ["alpha beta"] * 4 + ["gamma delta"] * 3 + [f"alpha rare{i}" for i in range(30)] + ["beta delta"]
+    seen = []
+    real = tfidf.counted_terms
+    monkeypatch.setattr(tfidf, "counted_terms", lambda d, t, f: seen.append(real(d, t, f)) or seen[-1])
+    model = fit_tfidf(frame(spark, texts), max_features=4)
+    assert {r["term"] for r in seen[0].collect()} == {"alpha", "beta", "delta", "gamma", "alpha beta", "gamma delta", "beta delta"}
+    assert [(t.term, t.tf, t.df) for t in model.vocabulary] == brute_force(texts, 4)[0]
