@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptweave.functions.constants import ENGLISH_STOP_WORDS
-from promptweave.functions.terms import terms_sql
-from promptweave.operators.tfidf import MAX_FEATURES, Term, TfidfModel, counted_terms
+from promptweave.functions.terms import content_words_sql
+from promptweave.operators.tfidf import MAX_FEATURES, Phrases, Term, TfidfModel, counted_terms
 
 COUNTS = "term string, tf long, df long"
 
@@ -47,7 +47,7 @@ class TermState:
         """Count the terms of a batch of texts; the same ``batch`` replaces its earlier counts."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch) or batch[0] in "._":
             raise ValueError(f"batch {batch!r} is no plain name")
-        terms = f"concat(array(''), {terms_sql(text_col, self.stop_words)})"
+        terms = Phrases(f"concat(array(''), {content_words_sql(text_col, self.stop_words)})")
         counted_terms(texts, terms).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
 
     def counts(self) -> DataFrame:
