@@ -15,6 +15,7 @@ from promptweave.operators.labeling import audit_table, labeled_prompts, watched
 from promptweave.operators.partitioning import spread
 from promptweave.operators.tfidf import TfidfModel, fit_tfidf, widen
 from promptweave.schemas import require_columns
+from promptweave.session import scratch_path
 from promptweave.sources import prompt_table, readers, writers
 
 
@@ -111,14 +112,17 @@ def feature_job(
 ) -> TfidfModel:
     """Stored prompts to the feature table; the fitted model is saved for scoring.
 
-    The CSV form has one column per term and neither id nor prompt.
+    The CSV form has one column per term and neither id nor prompt. Its writer goes over
+    its rows twice, so they are worked out once and kept as vectors in between.
     """
     prompts = spread(prompt_table.read_prompts(spark, table))
     model = fit_tfidf(prompts)
     model.save(spark, model_path)
     features = featurise(prompts, model)
     if as_csv:
-        wide = widen(features.drop("id"), model)
+        staged = scratch_path(spark, "narrow")
+        writers.write_parquet(features.drop("id"), staged)
+        wide = widen(spark.read.parquet(staged), model)
         label_last = [c for c in wide.columns if c != "Target_Tier"] + ["Target_Tier"]
         writers.write_csv(wide.select(*[F.col(f"`{c}`") for c in label_last]), out)
     else:

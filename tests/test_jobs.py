@@ -10,10 +10,11 @@ from promptweave.config import LabelRules, Tier
 from promptweave.functions.conversation import first_messages
 
 from promptweave.functions.text import TEXT_FEATURES
+from promptweave.operators.labeling import labeled_prompts
 from promptweave.operators.tfidf import TfidfModel
 from promptweave.plans import jobs
 from promptweave.plans.reports import feature_report
-from promptweave.sources import prompt_table, readers
+from promptweave.sources import prompt_table, readers, writers
 from promptweave.streaming.scoring import prompt_stream, score_stream
 
 TABLE = "prompts_of_jobs"
@@ -138,3 +139,17 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     score_stream(prompt_stream(spark, landing), model, out, checkpoint).awaitTermination()
     streamed = spark.read.parquet(out).orderBy("id").collect()
     assert streamed == jobs.featurise(prompts, model).orderBy("id").collect()
+
+
+def test_features_of_the_wide_csv_are_worked_out_once(spark, battles, tmp_path, monkeypatch):
+    """The writer goes over its rows twice: they come from a file, not from the texts."""
+    table, plans, real = "prompts_for_csv", [], writers.write_csv
+    prompt_table.save_prompts(labeled_prompts(battles, keep=("battle_id",)), "battle_id", table, path=str(tmp_path / "t"))
+
+    def seen(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(writers, "write_csv", seen)
+    jobs.feature_job(spark, str(tmp_path / "csv"), str(tmp_path / "model"), table, as_csv=True)
+    assert len(plans) == 1 and "regexp" not in plans[0]
